@@ -11,7 +11,7 @@ from ..functions.answers import (
     is_valid_audit, parse_audit,
 )
 from ..functions.text import let
-from .extract import NO_METRICS, first_per_key, metrics_long
+from .extract import no_metrics, first_per_key, metrics_long
 
 REPORT_KINDS = ["scope1", "scope2", "scope3", "generic"]
 
@@ -98,7 +98,7 @@ def claim_page_metrics(claims: DataFrame, page_metrics: DataFrame) -> DataFrame:
     kinds = ["scope1", "scope2", "generic"]
     side = page_metrics.select("document_id", "page", *kinds)
     return claims.drop(*kinds).join(side, ["document_id", "page"], "left").withColumns(
-        {k: F.coalesce(F.col(k), NO_METRICS) for k in kinds})
+        {k: F.coalesce(F.col(k), no_metrics()) for k in kinds})
 
 
 def claims_per_report(selected: DataFrame) -> DataFrame:

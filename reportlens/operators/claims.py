@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions.text import claim_context, evidence, let, normalize_unit_py, raw_sentences
-from .extract import NO_METRICS
+from .extract import no_metrics
 
 CLAIM_STRUCT = "array<struct<keyword_ord:int,claim:string,needle:string,base:string,at:int>>"
 
@@ -93,8 +93,8 @@ def claim_metrics_choice(claims: DataFrame) -> DataFrame:
     """
     emission = is_emissions_claim(F.col("claim"))
     chosen = F.struct(
-        *[F.when(emission, F.col(k)).otherwise(NO_METRICS).alias(k) for k in ("scope1", "scope2", "scope3")],
-        F.when(emission, NO_METRICS).otherwise(claim_unit_filter(F.col("generic"), F.col("claim"))).alias("generic"),
+        *[F.when(emission, F.col(k)).otherwise(no_metrics()).alias(k) for k in ("scope1", "scope2", "scope3")],
+        F.when(emission, no_metrics()).otherwise(claim_unit_filter(F.col("generic"), F.col("claim"))).alias("generic"),
     )
     return claims.withColumn("metrics", chosen).drop(*tx.METRIC_KINDS)
 

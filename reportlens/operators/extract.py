@@ -13,8 +13,13 @@ from ..functions.patterns import ignore_case
 from ..functions.text import contains_any, let, normalize_unit, one_line, parse_number
 from ..schemas import METRICS
 
-NO_METRICS = F.array().cast(METRICS)
-NO_TEXT = F.array().cast("array<string>")
+
+def no_metrics() -> Column:
+    return F.array().cast(METRICS)
+
+
+def no_text() -> Column:
+    return F.array().cast("array<string>")
 
 
 def metric(value: Column, unit: Column, page: Column, source: Column) -> Column:
@@ -35,7 +40,7 @@ def text_figures(kind: str, clean: Column, lower: Column, page: Column, strict_s
         regex = ignore_case(pattern)
         if strict_scope and pattern[0].isalpha():
             regex = regex.replace("(?iu)", r"(?iu)(?<![\p{L}\p{N}_])", 1)
-        found.append(F.when(present, F.regexp_extract_all(clean, F.lit(regex), F.lit(1))).otherwise(NO_TEXT))
+        found.append(F.when(present, F.regexp_extract_all(clean, F.lit(regex), F.lit(1))).otherwise(no_text()))
     values = F.filter(F.transform(F.flatten(F.array(*found)), parse_number), lambda v: v > 0)
     return F.transform(values, lambda v: metric(v, F.lit(tx.SCOPE_UNIT), page, F.lit(tx.TEXT_SOURCE)))
 
@@ -83,7 +88,7 @@ def table_figures(kind: str, tables: Column, page: Column) -> Column:
             contains_any(F.lower(F.array_join(r, " ", "")), tx.TABLE_HEADER_WORDS), F.lit(False)))
 
         def with_header(h: Column) -> Column:
-            header = F.coalesce(F.get(table, h - 1), NO_TEXT)
+            header = F.coalesce(F.get(table, h - 1), no_text())
             columns = F.filter(
                 F.transform(header, lambda c, j: F.when(contains_any(F.lower(c), column_words), j)),
                 lambda j: j.isNotNull())
@@ -95,14 +100,14 @@ def table_figures(kind: str, tables: Column, page: Column) -> Column:
 
     per_table = F.transform(
         F.coalesce(tables, F.array().cast("array<array<array<string>>>")),
-        lambda t, i: F.when(F.size(t) >= 2, one_table(t, i)).otherwise(NO_METRICS))
+        lambda t, i: F.when(F.size(t) >= 2, one_table(t, i)).otherwise(no_metrics()))
     return F.flatten(per_table)
 
 
 def scope_metrics_from_tables(pages: DataFrame) -> DataFrame:
     """Add `scope1`, `scope2`, `scope3` read from `tables`; tables never give a `total`."""
     kinds = {k: table_figures(k, F.col("tables"), F.col("page")) for k in tx.TABLE_COLUMN_WORDS}
-    return pages.withColumns({**kinds, "total": NO_METRICS})
+    return pages.withColumns({**kinds, "total": no_metrics()})
 
 
 def generic_figures(text: Column, page: Column, fixed_numbers: bool = False) -> Column:

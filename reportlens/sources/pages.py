@@ -85,9 +85,11 @@ def hrefs(html: Column) -> Column:
         F.btrim(h, F.lit("\"'")), F.lit("&amp;"), F.lit("&")))
 
 
-@F.pandas_udf("string")
-def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
-    return pd.Series([None if l is None else urljoin(b, l) for b, l in zip(base, link)])
+def absolute_url(base: str, link: str) -> Column:
+    @F.pandas_udf("string")
+    def join(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([urljoin(b, l) for b, l in zip(bases, links)])
+    return join(base, link)
 
 
 def link_extract(pages: DataFrame, extension: str = ".pdf") -> DataFrame:
