@@ -23,7 +23,7 @@ from ..operators import search as se
 from ..session import workspace
 from ..sources import pages as sp
 from ..sources import store as st
-from ..sources.derived import audit_responses, derived, judgements, report_pages, table, uploads
+from ..sources.derived import audit_responses, derived, judgements, report_pages, table, texts, uploads
 from ..streaming import stages as sg
 from . import tables as t
 
@@ -50,7 +50,7 @@ def r6(c: Column | str) -> Column:
 
 @query
 def page_source(spark, d):
-    return sp.page_source(sp.line_pages(table(spark, d, "documents")))
+    return sp.page_source(sp.line_pages(texts(spark, d, "documents")))
 
 
 @query
@@ -65,7 +65,7 @@ def source_route(spark, d):
 
 @query
 def link_extract(spark, d):
-    return sp.link_extract(table(spark, d, "pages"), "/th").select("page_id", "href", "link")
+    return sp.link_extract(texts(spark, d, "pages"), "/th").select("page_id", "href", "link")
 
 
 def _totals(spark, d):
@@ -106,7 +106,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 @query
 def chunks_upsert(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     old = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     return st.chunks_upsert(st.chunks_upsert(None, _lines(old)), _lines(docs)).select("document_id", "page", "content")
 
@@ -164,7 +164,7 @@ def claim_unit_filter(spark, d):
 
 @query
 def min_chunk_filter(spark, d):
-    chunks = ch.min_chunk_filter(ch.semantic_chunks(table(spark, d, "documents").select("doc_id", "text")))
+    chunks = ch.min_chunk_filter(ch.semantic_chunks(texts(spark, d, "documents").select("doc_id", "text")))
     return chunks.select("doc_id", "chunk_index", F.length("content").alias("chunk_size"))
 
 
@@ -452,14 +452,14 @@ def parse_number(spark, d):
 @query
 def normalize_unit(spark, d):
     raw = F.explode(F.regexp_extract_all("text", F.lit(ignore_case(tx.NUMERIC_PATTERN)), F.lit(2)))
-    pages = report_pages(spark, d).select("text").unionByName(table(spark, d, "documents").select("text"))
+    pages = report_pages(spark, d).select("text").unionByName(texts(spark, d, "documents").select("text"))
     units = pages.select(F.coalesce("text", F.lit("")).alias("text")).select(raw.alias("raw"))
     return units.withColumn("unit", X.normalize_unit(F.col("raw"))).groupBy("raw", "unit").agg(F.count("*").alias("n"))
 
 
 @query
 def target_year(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     pages = report_pages(spark, d).select(F.concat_ws("-", "document_id", "page").alias("id"), "text")
     return docs.unionByName(pages).select("id", X.target_year(F.col("text")).alias("target_year"))
 
@@ -468,7 +468,7 @@ DOC_WORDS = ["the", "aim", "oil", "des", "sch", "que"]
 
 
 def _document_hits(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("_s", X.raw_sentences(F.col("text")))
+    docs = texts(spark, d, "documents").select("doc_id", "text").withColumn("_s", X.raw_sentences(F.col("text")))
     return cl.claim_keywords_on_pages(docs, DOC_WORDS)
 
 
@@ -495,19 +495,19 @@ def _evidence_columns(e: Column) -> list[Column]:
 
 @query
 def evidence(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     pages = report_pages(spark, d).select(F.concat_ws("-", "document_id", "page").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.unionByName(pages).withColumn("e", X.evidence(F.col("text"))).select("id", *_evidence_columns(F.col("e")))
 
 
 @query
 def key_phrases(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.key_phrases(F.col("text"))).alias("ord", "phrase"))
+    return texts(spark, d, "documents").select("doc_id", F.posexplode(X.key_phrases(F.col("text"))).alias("ord", "phrase"))
 
 
 @query
 def clean_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     marked = F.concat(F.lit("Page 3 of 12\n"), F.col("text"), F.lit("\t PAGE "), F.col("doc_id").cast("string"), F.lit(" OF 9"))
     digits = F.concat(F.col("doc_id").cast("string"), F.lit(" \n"))
     return docs.select("doc_id", X.clean_text(marked).alias("clean"), X.clean_text(digits).alias("digits"))
@@ -515,7 +515,7 @@ def clean_text(spark, d):
 
 @query
 def split_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("ord", "sentence"))
+    return texts(spark, d, "documents").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("ord", "sentence"))
 
 
 @query
@@ -638,7 +638,7 @@ def scope_metrics_from_tables(spark, d):
 
 @query
 def generic_metrics(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = texts(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("company"),
         F.lit(0).alias("year"), F.lit(1).alias("page"), "text")
     pages = report_pages(spark, d).select("document_id", "company", "year", "page", "text")
@@ -652,7 +652,7 @@ def detect_claims(spark, d):
 
 @query
 def semantic_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
+    docs = texts(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
     return ch.semantic_chunks(docs).select("doc_id", "chunk_index", "content")
 
 
@@ -678,7 +678,7 @@ def audit_fallback(spark, d):
 
 @query
 def embed_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = texts(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     vec = em.embed_chunks(docs).select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return vec.where("weight <> 0").select("doc_id", "slot", F.round(F.col("weight").cast("double"), 5).alias("weight"))
 

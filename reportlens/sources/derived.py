@@ -6,6 +6,8 @@ caller fills in. Nothing is sampled or cut: all rows of the source tables take p
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +45,14 @@ select concat(replace(company, '#', '_'), '_', cast(year as string)) as document
   {list}({list}('alpha', '3'), {list}('Value chain', '4', cast(q as string))),
   {list}({list}('Site', 'Area'), {list}('GHG type', 'scope1 (t)', 'Scope 3'), {list}('North', grouped, '12,5'))
  ) end as tables
-from (
- select s.s_name as company, cast(year(l.l_shipdate) as int) as year, cast(l.l_linenumber as int) as page,
-  cast(sum(l.l_quantity) as bigint) as q, count(*) as n,
-  concat(cast(1 + max(l.l_orderkey) % 9 as string), ',', lpad(cast(sum(l.l_partkey) % 1000 as string), 3, '0')) as grouped
- from lineitem l join supplier s on l.l_suppkey = s.s_suppkey
- group by s.s_name, year(l.l_shipdate), l.l_linenumber
-) g
+from page_facts g
+"""
+PAGE_FACTS_SQL = """
+select s.s_name as company, cast(year(l.l_shipdate) as int) as year, cast(l.l_linenumber as int) as page,
+ cast(sum(l.l_quantity) as bigint) as q, count(*) as n,
+ concat(cast(1 + max(l.l_orderkey) % 9 as string), ',', lpad(cast(sum(l.l_partkey) % 1000 as string), 3, '0')) as grouped
+from lineitem l join supplier s on l.l_suppkey = s.s_suppkey
+group by s.s_name, year(l.l_shipdate), l.l_linenumber
 """
 
 # One upload per report; a third lacks company and year, some file names are not PDF.
@@ -133,36 +136,59 @@ from events group by user_id
 TEMPLATES = {
     "uploads": UPLOADS_SQL, "audit_responses": AUDIT_RESPONSES_SQL, "vector_chunks": VECTOR_CHUNKS_SQL,
     "search_queries": SEARCH_QUERIES_SQL, "judgement_rows": JUDGEMENTS_SQL, "timings": TIMINGS_SQL,
-    "report_pages": REPORT_PAGES_SQL,
+    "page_facts": PAGE_FACTS_SQL, "report_pages": REPORT_PAGES_SQL,
 }
+SOURCES = ("lineitem", "supplier", "embeddings", "events")
 
 
 def duckdb_sql(name: str) -> str:
     """The derived table's text for DuckDB."""
-    return TEMPLATES[name].format(**DUCKDB_DIALECT)
+    text = TEMPLATES[name].format(**DUCKDB_DIALECT)
+    return text.replace("from page_facts g", f"from ({PAGE_FACTS_SQL}) g")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL text with its tables bound as arguments, so that no view is left behind."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
+    return spark.sql(text, **frames)
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Derived table `name`; source tables are bound as arguments, no view is left behind."""
     text = TEMPLATES[name].format(**SPARK_DIALECT)
-    for source in ("lineitem", "supplier", "embeddings", "events"):
-        text = text.replace(f"from {source}", f"from {{{source}}}").replace(f"join {source}", f"join {{{source}}}")
-    used = [s for s in ("lineitem", "supplier", "embeddings", "events") if f"{{{s}}}" in text]
-    # Braces that belong to the text itself must survive the second formatting.
-    for s in used:
-        text = text.replace(f"{{{s}}}", f"\0{s}\0")
-    text = text.replace("{", "{{").replace("}", "}}")
-    for s in used:
-        text = text.replace(f"\0{s}\0", f"{{{s}}}")
-    return spark.sql(text, **{s: table(spark, sf_dir, s) for s in used})
+    used = [s for s in SOURCES if re.search(rf"\b(from|join) {s}\b", text)]
+    return bound(spark, text, **{s: table(spark, sf_dir, s) for s in used})
+
+
+def slots(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts need much work per byte.
+
+    A scan with fewer splits than slots (one small file) is spread over the slots; a scan of many
+    splits, as at scale, is left alone, so large tables are never shuffled for this.
+    """
+    df = table(spark, sf_dir, name)
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "report_pages")
+    """Derived pages, spread over all slots by page before their text is built.
+
+    A page is few bytes and much work; sized by bytes alone the pages would end up in a task or
+    two. Dealing out single pages also shares out a report of very many pages. (Spreading by the
+    grouping keys would be dropped as redundant, and the grouped rows packed together again.)
+    """
+    facts = derived(spark, sf_dir, "page_facts").repartition(slots(spark))
+    return bound(spark, REPORT_PAGES_SQL.format(**SPARK_DIALECT), page_facts=facts)
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
