@@ -9,8 +9,6 @@ from .. import taxonomy as tx
 from ..functions.text import claim_context, evidence, let, normalize_unit_py, raw_sentences
 from .extract import no_metrics
 
-CLAIM_STRUCT = "array<struct<keyword_ord:int,claim:string,needle:string,base:string,at:int>>"
-
 
 def present_keywords(text: Column, keywords: list[str], word_boundary: bool = False) -> Column:
     """Keywords contained in the text with their 0-based position.
@@ -21,11 +19,11 @@ def present_keywords(text: Column, keywords: list[str], word_boundary: bool = Fa
     words = tx.keyword_structs(keywords)
 
     def located(lower: Column) -> Column:
-        hits = F.filter(
-            F.transform(words, lambda k: F.struct(
+        hits = F.transform(
+            F.filter(words, lambda k: lower.contains(k["needle"])),
+            lambda k: F.struct(
                 k["keyword_ord"].alias("keyword_ord"), k["claim"].alias("claim"), k["needle"].alias("needle"),
-                k["base"].alias("base"), (F.instr(lower, k["needle"]) - 1).alias("at"))),
-            lambda k: k["at"] >= 0)
+                k["base"].alias("base"), (F.instr(lower, k["needle"]) - 1).alias("at")))
         if not word_boundary:
             return hits
         return F.filter(hits, lambda k: F.rlike(

@@ -27,24 +27,30 @@ def metric(value: Column, unit: Column, page: Column, source: Column) -> Column:
         value.alias("value"), unit.alias("unit"), page.cast("int").alias("page"), source.alias("source"))
 
 
-def text_figures(kind: str, clean: Column, lower: Column, page: Column, strict_scope: bool = False) -> Column:
+def text_figures(kind: str, clean: str, lower: str, page: Column, strict_scope: bool = False) -> Column:
     """Figures of one kind in pattern order, then match order; positive numbers only.
 
-    `strict_scope` asks for a word start, so that "Indirect emissions" no longer counts as direct.
+    `clean` and `lower` name the columns with the one-line text and its lower case. `strict_scope`
+    asks for a word start, so that "Indirect emissions" no longer counts as direct.
     """
     found = []
     for literals, pattern in tx.SCOPE_PATTERNS[kind]:
-        present = F.lit(True)
-        for word in literals:
-            present = present & lower.contains(word)
+        present = " and ".join(f"contains({lower}, {plain(w)})" for w in literals)
         regex = ignore_case(pattern)
         if strict_scope and pattern[0].isalpha():
             regex = regex.replace("(?iu)", r"(?iu)(?<![\p{L}\p{N}_])", 1)
-        found.append(F.when(present, F.regexp_extract_all(clean, F.lit(regex), F.lit(1))).otherwise(no_text()))
-    values = F.filter(F.transform(F.flatten(F.array(*found)), parse_number), lambda v: v > 0)
+        found.append(
+            f"case when {present} then regexp_extract_all({clean}, {tx.sql_string(regex)}, 1) "
+            "else cast(array() as array<string>) end")
+    matches = F.expr(f"flatten(array({', '.join(found)}))")
+    values = F.filter(F.transform(matches, parse_number), lambda v: v > 0)
     return F.transform(values, lambda v: metric(v, F.lit(tx.SCOPE_UNIT), page, F.lit(tx.TEXT_SOURCE)))
 
 
+def plain(word: str) -> str:
+    return "'\\n'" if word == "\n" else tx.sql_string(word)
+
+
 def scope_metrics_from_text(pages: DataFrame, strict_scope: bool = False) -> DataFrame:
     """Add one metric array per kind (`scope1`, `scope2`, `scope3`, `total`) read from `text`."""
     ready = (
@@ -52,7 +58,7 @@ def scope_metrics_from_text(pages: DataFrame, strict_scope: bool = False) -> Dat
         .withColumn("_lower", F.lower("_clean"))
     )
     kinds = {
-        k: text_figures(k, F.col("_clean"), F.col("_lower"), F.col("page"), strict_scope)
+        k: text_figures(k, "_clean", "_lower", F.col("page"), strict_scope)
         for k in tx.SCOPE_KINDS
     }
     return ready.withColumns(kinds).drop("_clean", "_lower")

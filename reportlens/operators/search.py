@@ -9,6 +9,7 @@ on their number and no join of questions with chunks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
@@ -197,21 +198,30 @@ def vector_topk_capped(chunks: DataFrame, queries: DataFrame, threshold: float =
     chunk ids, and questions meet them on that pair.
     """
     spark = chunks.sparkSession
-    filters = queries.select("company", "year").distinct()
-    out = None
-    for block in _filter_blocks(filters):
+
+    def one_pass(block: list) -> DataFrame:
+        parts = []
         for f in block:
             eligible = chunks.where(company_filter(F.col("company"), f.company) & year_filter(F.col("year"), f.year))
-            few = eligible.orderBy("chunk_id").limit(candidates)
-            some = queries.where(F.col("company").eqNullSafe(F.lit(f.company)) & F.col("year").eqNullSafe(F.lit(f.year)))
-            part = score(few, some, threshold, strict=False, k=k)
-            out = part if out is None else out.unionByName(part)
-    return rank_hits(out, k) if out is not None else spark.createDataFrame([], "query_id long")
+            asked = queries.where(F.col("company").eqNullSafe(F.lit(f.company)) & F.col("year").eqNullSafe(F.lit(f.year)))
+            parts.append(score(eligible.orderBy("chunk_id").limit(candidates), asked, threshold, strict=False, k=k))
+        return reduce(DataFrame.unionByName, parts)
+
+    blocks = _filter_blocks(queries.select("company", "year").distinct())
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return rank_hits(score(chunks, queries, threshold, k=k), k)
+    if second is None:
+        return rank_hits(one_pass(first), k)
+    path = workspace(spark, "capped-hits")
+    for block in chain([first, second], blocks):
+        one_pass(block).write.mode("append").parquet(path)
+    return rank_hits(spark.read.parquet(path), k)
 
 
 def _filter_blocks(filters: DataFrame) -> Iterator[list]:
     rows = filters.toLocalIterator()
-    while block := list(islice(rows, 64)):
+    while block := list(islice(rows, 32)):
         yield block
 
 

@@ -77,7 +77,7 @@ def extract_json_sink(spark, d):
     path = workspace(spark, "extract-json")
     st.extract_json_sink(_totals(spark, d), path)
     st.extract_json_sink(_totals(spark, d), path)  # a second run replaces, it does not add
-    back = spark.read.schema("document_id string, company string, scope1_total double, company_key string, year int").json(path)
+    back = spark.read.schema("document_id string, company string, scope1_total double, company_key string, year int, bucket int").json(path)
     return back.select("document_id", "company_key", "year", st.extract_json_key(F.col("company"), F.col("year")).alias("file_name"), "scope1_total")
 
 

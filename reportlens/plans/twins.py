@@ -50,7 +50,7 @@ def unit(x: str) -> str:
 def year_of(x: str) -> str:
     low, high = tx.TARGET_YEAR_RANGE
     picks = []
-    for p in tx.TARGET_YEAR_PATTERNS:
+    for _, p in tx.TARGET_YEAR_PATTERNS:
         y = f"try_cast(regexp_extract(lower({x}), {lit(portable(p))}, 1) as integer)"
         picks.append(f"case when {y} between {low} and {high} then {y} end")
     return "coalesce(" + ", ".join(picks) + ")"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_key
 from ..operators.audit import metric_sum
 from ..operators.chunks import chunk_id
+from ..session import materialize
 
 LATEST = ("company", "year")
 
@@ -16,16 +18,41 @@ def extract_json_key(company: Column, year: Column) -> Column:
     return F.concat(safe_key(company), F.lit("_"), year.cast("string"), F.lit(".json"))
 
 
-def extract_json_sink(rows: DataFrame, path: str) -> None:
-    """JSON by company and year; a later run replaces just the partitions it writes."""
+def extract_json_sink(rows: DataFrame, path: str, buckets: int = 4) -> None:
+    """Stage JSON by year and bucket of companies; rows of a (company, year) written before are replaced.
+
+    One file per company and year would mean millions of tiny files, so a folder holds many
+    companies: the folders this run touches are read, their other rows kept, and the merged rows
+    overwrite just those folders. `buckets` sizes the folders.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("company_key", safe_key(F.col("company"))).withColumn(
+        "bucket", F.pmod(F.xxhash64("company_key"), F.lit(buckets)).cast("int"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+    merged = new
+    if stored_before(spark, path):
+        touched = new.select("year", "bucket").distinct()  # at most years x buckets rows
+        old = spark.read.schema(fields).json(path).join(F.broadcast(touched), ["year", "bucket"], "left_semi")
+        kept = old.join(new.select("company_key", "year").distinct(), ["company_key", "year"], "left_anti")
+        # The folders are read and replaced in one run, so the merged rows are settled first.
+        merged = materialize(kept.unionByName(new), "merged-json")
     (
-        rows.withColumn("company_key", safe_key(F.col("company")))
-        .hint("rebalance", F.col("company_key"), F.col("year"))
+        merged.hint("rebalance", F.col("year"), F.col("bucket"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("company_key", "year").json(path)
+        .partitionBy("year", "bucket").json(path)
     )
 
 
+def stored_before(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("year int").json(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def extract_json_scan(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Stage JSON with a given schema: readable rows, and the texts of broken ones."""
     rows = (
