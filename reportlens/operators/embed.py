@@ -18,23 +18,31 @@ DEFAULT_DIM = 64
 def hashed_words(dim: int = DEFAULT_DIM) -> Callable[[], Encoder]:
     """Deterministic signed feature hashing of words, scaled to length one."""
     def load() -> Encoder:
-        slots: dict[str, tuple[int, int]] = {}
-
-        def slot(word: str) -> tuple[int, int]:
-            if word not in slots:
-                if len(slots) > 500_000:
-                    slots.clear()
-                digest = hashlib.md5(word.encode()).hexdigest()
-                slots[word] = (int(digest[:8], 16) % dim, 1 if int(digest[8], 16) < 8 else -1)
+        slots: dict[str, int] = {}
+
+        def learn(word: str) -> int:
+            """Slot of a word as one number: the negative half of the range stands for sign -1."""
+            if len(slots) > 500_000:
+                slots.clear()
+            digest = hashlib.md5(word.encode()).hexdigest()
+            at = int(digest[:8], 16) % dim
+            slots[word] = at if int(digest[8], 16) < 8 else at + dim
             return slots[word]
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, text in zip(out, texts):
-                pairs = [slot(w) for w in re.findall("[a-z0-9]+", text.lower())]
-                if pairs:
-                    at, sign = zip(*pairs)
-                    np.add.at(row, list(at), sign)
+            known = slots.get
+            found: list[int] = []
+            lengths = []
+            for text in texts:
+                before = len(found)
+                for word in re.findall("[a-z0-9]+", text.lower()):
+                    at = known(word)
+                    found.append(learn(word) if at is None else at)
+                lengths.append(len(found) - before)
+            rows = np.repeat(np.arange(len(texts)), lengths) * (2 * dim)
+            counts = np.bincount(rows + np.array(found, dtype=np.int64), minlength=len(texts) * 2 * dim)
+            halves = counts.reshape(len(texts), 2, dim)
+            out = (halves[:, 0] - halves[:, 1]).astype(np.float64)
             length = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(length == 0, 1, length)
         return encode

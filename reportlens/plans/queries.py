@@ -20,7 +20,7 @@ from ..operators import evaluate as ev
 from ..operators import extract as ex
 from ..operators import reports as rp
 from ..operators import search as se
-from ..session import workspace
+from ..session import spread, workspace
 from ..sources import pages as sp
 from ..sources import store as st
 from ..sources.derived import audit_responses, derived, judgements, report_pages, table, texts, uploads
@@ -288,7 +288,7 @@ def corpus_stats(spark, d):
 
 @query
 def system_stats(spark, d):
-    return rp.system_stats(t.reports(spark, d), ch.report_chunks(t.reports(spark, d)))
+    return rp.system_stats(t.reports(spark, d), ch.report_chunks(spread(t.reports(spark, d))))
 
 
 @query
@@ -578,8 +578,7 @@ def parse_answer_json(spark, d):
 
 @query
 def claim_chunk_text(spark, d):
-    chunks = ch.report_chunks(t.reports(spark, d)).where(F.col("metadata")["type"] == "claim")
-    return chunks.select("document_id", "page", "chunk_index", "content")
+    return ch.claim_chunks(spread(t.reports(spark, d))).select("document_id", "page", "chunk_index", "content")
 
 
 @query
@@ -658,7 +657,7 @@ def semantic_chunks(spark, d):
 
 @query
 def report_chunks(spark, d):
-    out = ch.report_chunks(t.reports(spark, d), t.extracted(spark, d))
+    out = ch.report_chunks(spread(t.reports(spark, d)), t.extracted(spark, d))
     return out.select("document_id", "page", "chunk_index", "content", F.col("metadata")["type"].alias("type"))
 
 

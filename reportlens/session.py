@@ -30,3 +30,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = workspace(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per byte: a scan with fewer splits than slots is dealt out over the slots.
+
+    A scan of many splits, as at scale, is left alone, so large tables are never shuffled for this.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
+from ..session import spread
 
 SPARK_DIALECT = {"list": "array", "null_text": "cast(null as string)"}
 DUCKDB_DIALECT = {"list": "list_value", "null_text": "cast(null as string)"}
@@ -170,14 +170,8 @@ def slots(spark: SparkSession) -> int:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts need much work per byte.
-
-    A scan with fewer splits than slots (one small file) is spread over the slots; a scan of many
-    splits, as at scale, is left alone, so large tables are never shuffled for this.
-    """
-    df = table(spark, sf_dir, name)
-    n = spark.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """A table whose texts need much work per byte."""
+    return spread(table(spark, sf_dir, name))
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +199,3 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "judgement_rows").select(
         "query_id", "category",
         F.when(F.col("judged"), F.array("first_page", "last_page")).alias("expected_pages"))
-
-
-__all__ = ["schemas", "table", "derived", "report_pages", "uploads", "audit_responses", "judgements", "duckdb_sql"]

@@ -54,14 +54,16 @@ def stored_before(spark: SparkSession, path: str) -> bool:
 
 
 def extract_json_scan(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Stage JSON with a given schema: readable rows, and the texts of broken ones."""
-    rows = (
-        spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    )
-    good = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = rows.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    return good, bad
+    """Stage JSON lines with a given schema: readable rows, and the texts of broken ones.
+
+    Parsed from text lines, because a JSON scan refuses queries on the broken rows alone.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.from_json("value", schema + ", _corrupt_record string", options).alias("_row"))
+    broken = F.col("_row._corrupt_record").isNotNull()
+    good = lines.where(~broken).select("_row.*").drop("_corrupt_record")
+    return good, lines.where(broken).select("value")
 
 
 def reports_upsert(existing: DataFrame | None, new: DataFrame) -> DataFrame:
