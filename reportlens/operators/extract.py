@@ -64,56 +64,63 @@ def scope_metrics_from_text(pages: DataFrame, strict_scope: bool = False) -> Dat
     return ready.withColumns(kinds).drop("_clean", "_lower")
 
 
-def table_figures(kind: str, tables: Column, page: Column) -> Column:
-    """Figures of one scope kind from a page's tables.
+CELLS = "array<struct<kind:string,value:double,source:string>>"
+
+
+def table_cells(tables: Column) -> Column:
+    """Positive numbers of a page's tables with the scope kind they count for, in one pass.
 
     Per table the first row with a header word gives the scope columns; every later row gives
-    the cells of those columns, then all its cells if its label names the scope.
+    the cells of those columns, then all its cells if its label names the scope. Within a kind
+    the order is table, row, columns, label.
     """
-    column_words, label_words = tx.TABLE_COLUMN_WORDS[kind], tx.TABLE_LABEL_WORDS[kind]
-
-    def cell_metrics(cells: Column) -> Column:
-        numbers = F.transform(cells, lambda c: F.struct(parse_number(c["cell"]).alias("v"), c["source"].alias("s")))
-        return F.transform(
-            F.filter(numbers, lambda n: n["v"] > 0),
-            lambda n: metric(n["v"], F.lit(tx.SCOPE_UNIT), page, n["s"]))
+    def cell(kind: Column, value: Column, source: Column) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), source.alias("source"))
 
     def row_cells(row: Column, columns: Column, name: Column) -> Column:
-        by_column = F.transform(columns, lambda j: F.struct(
-            F.get(row, j).alias("cell"), F.concat(name, F.lit("_col_"), j.cast("string")).alias("source")))
-        labelled = contains_any(F.lower(F.coalesce(F.get(row, F.lit(0)), F.lit(""))), label_words)
-        by_label = F.when(labelled, F.transform(
-            F.slice(row, 2, F.greatest(F.size(row), F.lit(1))),
-            lambda c: F.struct(c.alias("cell"), F.concat(name, F.lit("_label")).alias("source")),
-        )).otherwise(F.array().cast("array<struct<cell:string,source:string>>"))
-        return F.concat(by_column, by_label)
+        def from_numbers(numbers: Column) -> Column:
+            by_column = F.transform(columns, lambda c: cell(
+                c["kind"], F.get(numbers, c["j"]), F.concat(name, F.lit("_col_"), c["j"].cast("string"))))
+            by_label = let(F.lower(F.coalesce(F.get(row, F.lit(0)), F.lit(""))), lambda label: F.concat(*[
+                F.when(contains_any(label, words), F.transform(
+                    F.slice(numbers, 2, F.greatest(F.size(numbers), F.lit(1))),
+                    lambda v: cell(F.lit(kind), v, F.concat(name, F.lit("_label"))),
+                )).otherwise(F.array().cast(CELLS))
+                for kind, words in tx.TABLE_LABEL_WORDS.items()]))
+            return F.filter(F.concat(by_column, by_label), lambda c: c["value"] > 0)
+        return let(F.transform(row, parse_number), from_numbers)
+
+    def scope_columns(header: Column) -> Column:
+        marked = F.transform(header, lambda c, j: let(F.lower(c), lambda low: F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.when(contains_any(low, words), j).alias("j"))
+            for kind, words in tx.TABLE_COLUMN_WORDS.items()])))
+        return F.filter(F.flatten(marked), lambda m: m["j"].isNotNull())
 
     def one_table(table: Column, i: Column) -> Column:
-        name = F.concat(F.lit("table_"), i.cast("string"))
-        is_header = F.transform(table, lambda r: F.coalesce(
-            contains_any(F.lower(F.array_join(r, " ", "")), tx.TABLE_HEADER_WORDS), F.lit(False)))
-
-        def with_header(h: Column) -> Column:
-            header = F.coalesce(F.get(table, h - 1), no_text())
-            columns = F.filter(
-                F.transform(header, lambda c, j: F.when(contains_any(F.lower(c), column_words), j)),
-                lambda j: j.isNotNull())
-            return let(columns, lambda cols: F.flatten(F.transform(
-                F.filter(F.slice(table, h + 1, F.size(table)), lambda r: F.size(r) > 0),
-                lambda r: cell_metrics(row_cells(r, cols, name)))))
+        is_header = F.transform(table, lambda r: F.coalesce(let(
+            F.lower(F.array_join(r, " ", "")), lambda low: contains_any(low, tx.TABLE_HEADER_WORDS)), F.lit(False)))
         # array_position is 0 where no row is a header; then every row is data and no column is known.
-        return let(F.array_position(is_header, True).cast("int"), with_header)
+        return let(F.array_position(is_header, True).cast("int"), lambda h: let(
+            scope_columns(F.coalesce(F.get(table, h - 1), no_text())), lambda columns: F.flatten(F.transform(
+                F.filter(F.slice(table, h + 1, F.size(table)), lambda r: F.size(r) > 0),
+                lambda r: row_cells(r, columns, F.concat(F.lit("table_"), i.cast("string")))))))
 
-    per_table = F.transform(
+    return F.flatten(F.transform(
         F.coalesce(tables, F.array().cast("array<array<array<string>>>")),
-        lambda t, i: F.when(F.size(t) >= 2, one_table(t, i)).otherwise(no_metrics()))
-    return F.flatten(per_table)
+        lambda t, i: F.when(F.size(t) >= 2, one_table(t, i)).otherwise(F.array().cast(CELLS))))
+
+
+def figures_of(cells: Column, kind: str, page: Column) -> Column:
+    return F.transform(
+        F.filter(cells, lambda c: c["kind"] == kind),
+        lambda c: metric(c["value"], F.lit(tx.SCOPE_UNIT), page, c["source"]))
 
 
 def scope_metrics_from_tables(pages: DataFrame) -> DataFrame:
     """Add `scope1`, `scope2`, `scope3` read from `tables`; tables never give a `total`."""
-    kinds = {k: table_figures(k, F.col("tables"), F.col("page")) for k in tx.TABLE_COLUMN_WORDS}
-    return pages.withColumns({**kinds, "total": no_metrics()})
+    kinds = {k: figures_of(F.col("_cells"), k, F.col("page")) for k in tx.TABLE_COLUMN_WORDS}
+    return pages.withColumn("_cells", table_cells(F.col("tables"))).withColumns(
+        {**kinds, "total": no_metrics()}).drop("_cells")
 
 
 def generic_figures(text: Column, page: Column, fixed_numbers: bool = False) -> Column:
@@ -161,12 +168,10 @@ def distinct_generic(metrics: Column, page: Column) -> Column:
 
 def text_table_union(pages: DataFrame, strict_scope: bool = False) -> DataFrame:
     """Text figures followed by table figures per kind, order kept, repeats kept."""
-    text = scope_metrics_from_text(pages, strict_scope)
-    joined = {
-        k: F.concat(F.col(k), table_figures(k, F.col("tables"), F.col("page")))
-        for k in tx.TABLE_COLUMN_WORDS
-    }
-    return text.withColumns(joined)
+    both = scope_metrics_from_text(pages, strict_scope).withColumn("_cells", table_cells(F.col("tables")))
+    return both.withColumns({
+        k: F.concat(F.col(k), figures_of(F.col("_cells"), k, F.col("page"))) for k in tx.TABLE_COLUMN_WORDS
+    }).drop("_cells")
 
 
 def page_metrics(pages: DataFrame, strict_scope: bool = False, fixed_numbers: bool = False) -> DataFrame:

@@ -78,6 +78,7 @@ from (
 AUDIT_RESPONSES_SQL = """
 select document_id,
  case
+  when n % 13 = 0 then {null_text}
   when year % 6 = 0 then concat('{{"overall_score": 4, "overall_summary": "Figures of ', company,
    ' hold up", "claim_reviews": [{{"claim": "scope 1", "page": 1, "score": 5, "reason": "stated on page 1", "citations": [1, 2]}},',
    ' {{"claim": "net zero", "page": 2, "score": 2.5, "reason": "", "citations": []}},',
@@ -97,7 +98,6 @@ from (
  from lineitem l join supplier s on l.l_suppkey = s.s_suppkey
  group by s.s_name, year(l.l_shipdate)
 ) g
-where n % 13 <> 0
 """
 
 # One stored vector per row of `embeddings`.
