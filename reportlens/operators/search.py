@@ -22,6 +22,7 @@ from ..functions.answers import NOTHING_FOUND
 from ..session import workspace
 
 BLOCK_BYTES = 16 << 20
+MATRIX_CELLS = 2 << 20
 DEFAULT_THRESHOLD = 0.4
 DEFAULT_K = 5
 # Scores are ordered at this many decimals: the last bits depend on how a product is blocked.
@@ -111,19 +112,27 @@ class _Scorer:
         arrays = [pa.array(list(v), type=f.type) for v, f in zip(zip(*rows), self.schema)]
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
+    def pieces(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Slices whose score matrix stays within `MATRIX_CELLS`, however many questions there are."""
+        step = max(1, MATRIX_CELLS // len(self.ids))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: list[list[tuple]] = [[] for _ in self.ids]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sims = self.scores(batch)
-            for i in np.flatnonzero(np.isfinite(sims).any(axis=1)):
-                found = self.rows(batch, sims, i, self.best(batch, sims, i))
+        # The score a row must reach to matter for a question; most are passed over once it is known.
+        floor = np.full(len(self.ids), np.finfo(np.float64).min)
+        for piece in chain.from_iterable(map(self.pieces, batches)):
+            sims = self.scores(piece)
+            for i in np.flatnonzero(sims.max(axis=1) >= floor):
+                found = self.rows(piece, sims, i, self.best(piece, sims, i))
                 if self.k is None:
                     yield self.emit(found)
                 else:
                     # similarity descending, then chunk_id (the first carried column) ascending
                     top[i] = sorted(top[i] + found, key=lambda r: (-r[1], r[2]))[:self.k]
+                    if len(top[i]) == self.k:
+                        floor[i] = top[i][-1][1]
         if rows := list(chain.from_iterable(top)):
             yield self.emit(rows)
 

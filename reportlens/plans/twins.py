@@ -8,7 +8,7 @@ from __future__ import annotations
 from .. import taxonomy as tx
 from ..functions import answers as A
 from ..functions.patterns import DIGIT, SPACE, WHITESPACE, portable
-from ..functions.text import NUMBER_SHAPE
+from ..functions.text import NUMBER_SHAPE, normalize_unit_py
 from ..sources.derived import duckdb_sql
 
 TWINS: dict[str, str] = {}
@@ -225,23 +225,16 @@ part("ev", f"select *, {evidence_columns('context')} from claims_", "claims_")
 
 _allowed = []
 for _name, _units in tx.CLAIM_UNITS.items():
-    from ..functions.text import normalize_unit_py
     for _u in sorted({normalize_unit_py(u) for u in _units}):
         _allowed.append(f"({lit(_name)}, {lit(_u)})")
 part("allowed", f"select * from (values {', '.join(_allowed)}) v(claim, unit)")
 EMISSION = "claim in (" + ", ".join(lit(c) for c in tx.EMISSIONS_CLAIMS) + ")"
 part("figsum", """select document_id, page, """ + ", ".join(
     f"cast(count(*) filter (kind = '{k}') as integer) as {k}" for k in tx.METRIC_KINDS) + " from figs group by all", "figs")
-part("kept", f"""select h.document_id, h.page, h.claim, cast(count(f.value) as integer) as n_kept, coalesce(sum(f.value), 0) as sum_kept
- from hits_ h left join (select f.*, a.claim as ok from figs f left join allowed a on a.unit = f.unit where kind = 'generic'
-   union all select f.*, null from figs f where kind = 'generic' and unit = '') f
-  on f.document_id = h.document_id and f.page = h.page and (f.unit = '' and f.ok is null or f.ok = h.claim)
- group by all""", "hits_", "figs", "allowed")
-# A unit-less figure meets the allow-list join as well (as null), so the two branches are kept apart.
-PARTS["kept"] = (PARTS["kept"][0], f"""select h.document_id, h.page, h.claim, cast(count(f.value) as integer) as n_kept, coalesce(sum(f.value), 0) as sum_kept
+part("kept", """select h.document_id, h.page, h.claim, cast(count(f.value) as integer) as n_kept, coalesce(sum(f.value), 0) as sum_kept
  from hits_ h left join figs f on f.document_id = h.document_id and f.page = h.page and f.kind = 'generic'
   and (f.unit = '' or exists (select 1 from allowed a where a.claim = h.claim and a.unit = f.unit))
- group by all""")
+ group by all""", "hits_", "figs", "allowed")
 part("choice", f"""select k.document_id, k.page, k.claim,
  case when {EMISSION.replace('claim in', 'k.claim in')} then coalesce(s.scope1, 0) else 0 end as n_scope1,
  case when {EMISSION.replace('claim in', 'k.claim in')} then coalesce(s.scope2, 0) else 0 end as n_scope2,
@@ -497,11 +490,11 @@ twin("top_claims", "select document_id, page, claim, claim_rank, score from pick
 twin("simple_top_claims", """select document_id, page, claim from (select *, count(*) over (partition by document_id) as n,
  row_number() over (partition by document_id order by case claim when 'net zero' then 1 when 'carbon neutral' then 2 when 'zero emissions' then 3
   when 'renewable energy' then 4 else 99 end, page, keyword_ord) as rn from hits_) where n <= 20 or rn <= 15""", "hits_")
-twin("metric_sample", """select document_id, cast(sample_rank as integer) as sample_rank, page, value, unit from (
- select *, row_number() over (partition by document_id order by page, ord) as sample_rank from (
+part("samples", """select * from (select *, cast(row_number() over (partition by document_id order by page, ord) as integer) as sample_rank from (
   select g.*, row_number() over (partition by document_id, page order by ord) as pn, c.n, c.p from rfigs g
   join (select document_id, count(*) as n, count(distinct page) as p from rfigs where kind = 'generic' group by all) c using (document_id)
   where g.kind = 'generic') where n <= 50 or pn <= greatest(1, 50 // p)) where sample_rank <= 50""", "rfigs")
+twin("metric_sample", "select document_id, sample_rank, page, value, unit from samples", "samples")
 twin("latest_report", f"select {LISTED} from latest", "latest")
 twin("company_history", f"select {LISTED}, ai_summary, cast(count(*) over (partition by company) as integer) as years_covered from reports", "reports")
 twin("compare_companies", """select request_id, cast(row_number() over (partition by request_id order by coalesce(scope1_total, 0) desc, pos) as integer) as place,
@@ -515,9 +508,7 @@ twin("vector_topk_capped", f"select {HIT} from ({topk(0.05, source='capped', op=
 
 twin("text_table_union", "select document_id, page, kind, cast(ord as integer) as ord, value, 'tCO2e' as unit from both_figs", "both_figs")
 twin("combine_page_metrics", "select document_id, page, kind, cast(ord as integer) as ord, value, unit from figs where kind <> 'total'", "figs")
-twin("taxonomy_build", """select keyword, category, keyword_ord, count(h.claim) as pages from cat join kw on kw.claim = cat.keyword
- left join hits_ h on h.claim = keyword group by keyword, category, kw.keyword_ord""", "cat", "kw", "hits_")
-TWINS["taxonomy_build"] = use("""select keyword, category, kw.keyword_ord as keyword_ord, count(h.claim) as pages from cat join kw on kw.claim = cat.keyword
+twin("taxonomy_build", """select keyword, category, kw.keyword_ord as keyword_ord, count(h.claim) as pages from cat join kw on kw.claim = cat.keyword
  left join hits_ h on h.claim = cat.keyword group by keyword, category, kw.keyword_ord""", "cat", "kw", "hits_")
 
 # ---------------------------------------------------------------- scalars
@@ -621,20 +612,11 @@ twin("embed_chunks", hashed("documents", "text", "doc_id"))
 twin("embed_queries", hashed("(select conv_id, turn, text from conversations where role = 'user')", "text", "conv_id, turn"))
 part("entries", "select document_id, " + ", ".join(f"cast(count(*) filter (kind = '{k}') as integer) as {k}_entries" for k in ("scope1", "scope2", "scope3", "generic"))
      + " from rfigs group by all", "rfigs")
-part("sampled", "select document_id, cast(count(*) as integer) as sampled from (" + TWINS["metric_sample"].split("\n", 1)[0] + ") group by all")
-PARTS["sampled"] = (("rfigs",), """select document_id, cast(count(*) as integer) as sampled from (
- select *, row_number() over (partition by document_id order by page, ord) as sample_rank from (
-  select g.*, row_number() over (partition by document_id, page order by ord) as pn, c.n, c.p from rfigs g
-  join (select document_id, count(*) as n, count(distinct page) as p from rfigs where kind = 'generic' group by all) c using (document_id)
-  where g.kind = 'generic') where n <= 50 or pn <= greatest(1, 50 // p)) where sample_rank <= 50 group by all""")
-twin("audit_requests", """select d.document_id, d.company, d.year, e.* exclude (document_id), s.sampled, c.n_claims, c.claims_text from docs_ d
- join entries e using (document_id) left join sampled s using (document_id)
+twin("audit_requests", """select d.document_id, d.company, d.year, e.* exclude (document_id), cast(s.sampled as integer) as sampled, c.n_claims, c.claims_text from docs_ d
+ join entries e using (document_id) left join (select document_id, count(*) as sampled from samples group by all) s using (document_id)
  join (select document_id, cast(count(*) as integer) as n_claims, string_agg(concat('Claim ', claim_rank, ': ''', claim, ''' (Page ', page, ')',
-  coalesce(concat(chr(10), '  Target Year: ', cast(target_year as varchar)), '')), chr(10) order by claim_rank) as claims_text from picked group by all) c using (document_id)""",
-     "docs_", "entries", "sampled", "picked")
-TWINS["audit_requests"] = TWINS["audit_requests"].replace(
-    "coalesce(concat(chr(10), '  Target Year: ', cast(target_year as varchar)), '')",
-    "case when target_year is null then '' else concat(chr(10), '  Target Year: ', target_year) end")
+  case when target_year is null then '' else concat(chr(10), '  Target Year: ', target_year) end), chr(10) order by claim_rank) as claims_text from picked group by all) c using (document_id)""",
+     "docs_", "entries", "samples", "picked")
 twin("rag_context", """select query_id, string_agg(concat('[Source: ', company, ' ', year, ' Report, Page ', page, ']', chr(10), content), chr(10) || chr(10) order by rank) as context
  from hits5 group by query_id""", "hits5")
 part("hits50", topk(0.5), "pairs")

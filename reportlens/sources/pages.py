@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.patterns import SPACE
-from ..functions.text import company_year_from_filename, let, normalize_company, squeeze
+from ..functions.text import company_year_from_filename, let, normalize_company, squeeze, strip
 
 HREF = rf"(?is)<a[{SPACE}](?:[^>]*?[{SPACE}])?href[{SPACE}]*=[{SPACE}]*(\"[^\"]*\"|'[^']*'|[^{SPACE}\"'>]+)"
 
@@ -34,7 +34,7 @@ def line_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def upload_intake(uploads: DataFrame) -> DataFrame:
     """PDF names only; company trimmed; the source of the metadata noted."""
-    company = F.when(F.coalesce(F.col("company"), F.lit("")) != "", squeeze_ends(F.col("company")))
+    company = F.when(F.coalesce(F.col("company"), F.lit("")) != "", strip(F.col("company")))
     year = F.nullif(F.col("year"), F.lit(0))
     return (
         uploads.where(F.lower("filename").endswith(".pdf"))
@@ -45,11 +45,6 @@ def upload_intake(uploads: DataFrame) -> DataFrame:
     )
 
 
-def squeeze_ends(c: Column) -> Column:
-    from ..functions.text import strip
-    return strip(c)
-
-
 def metadata_resolve(uploads: DataFrame, default_year: int) -> DataFrame:
     """Company and year of an upload: given values if both are there, else per field from the file name.
 

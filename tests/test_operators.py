@@ -88,8 +88,10 @@ def test_topk_equals_brute_force(spark, vectors, monkeypatch):
     for j, _, c, y, e in asks:
         def keep(i): return (c is None or c.lower() in f"company {i % 3}") and (y is None or 2020 + i % 4 == y)
         want[j] = brute(x, np.array(e, dtype=float), keep, 5, 0.1)
-    for block in (16 << 20, 16 * 8 * 4):  # one pass, and several passes of four questions
+    for block, cells in ((16 << 20, 2 << 20), (16 << 20, 150), (16 * 8 * 4, 2 << 20)):
+        # one pass; score matrices of ten rows; several passes of four questions
         monkeypatch.setattr(se, "BLOCK_BYTES", block)
+        monkeypatch.setattr(se, "MATRIX_CELLS", cells)
         got = {j: [] for j in want}
         for r in se.vector_topk(chunks, queries, 0.1, 5).orderBy("query_id", "rank").collect():
             got[r.query_id].append(r.chunk_id)
