@@ -16,6 +16,8 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 DIGIT = r"\p{Nd}"
+# White-space runs that are not already a single blank; replacing only these leaves most words alone.
+UNEVEN_SPACE = rf"[{SPACE.replace('-\\x{20}', '-\\x{1f}')}][{SPACE}]*| [{SPACE}]+"
 
 
 def portable(pattern: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
-from .patterns import DIGIT, SPACE, WHITESPACE, ignore_case, portable
+from .patterns import DIGIT, SPACE, UNEVEN_SPACE, WHITESPACE, ignore_case, portable
 
 SENTENCE_GAP = rf"(?<=[.!?])[{SPACE}]+"
 NUMBER_SHAPE = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$"
@@ -26,7 +26,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White-space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def one_line(c: Column) -> Column:
@@ -179,8 +179,9 @@ def evidence(context: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """White space collapsed, page marks dropped, a text of digits only dropped."""
-    flat = F.regexp_replace(c, rf"[{SPACE}]+", " ")
-    unmarked = F.regexp_replace(flat, rf"(?iu)Page {DIGIT}+ of {DIGIT}+", "")
+    mark = rf"(?iu)Page {DIGIT}+ of {DIGIT}+"
+    unmarked = let(F.regexp_replace(c, UNEVEN_SPACE, " "), lambda flat: F.when(
+        F.lower(flat).contains("page "), F.regexp_replace(flat, mark, "")).otherwise(flat))
     return strip(F.regexp_replace(unmarked, rf"^{DIGIT}+[{SPACE}]*$", ""))
 
 

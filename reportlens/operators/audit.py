@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import taxonomy as tx
 from ..functions.answers import (
     AUDIT_FAILED, NO_CANDIDATES, NO_CLAIMS, PARSE_FAILED, RETRIES, audit_struct, fallback_reviews,
     is_valid_audit, parse_audit,
