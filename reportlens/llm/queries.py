@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reportlens.llm import minhash
+from reportlens.llm import minhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,4 +17,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100), bands=25, rows=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup,)}
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Re-Pair blocks and read back."""
+    return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op9_token_ids)}
