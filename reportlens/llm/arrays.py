@@ -60,6 +60,15 @@ class Words:
     first: np.ndarray
     data: np.ndarray  # bytes after folding
     text_at: np.ndarray  # where each document's bytes begin in `data`; one more at the end
+    total: np.ndarray  # running polynomial over the bytes
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, equal for equal bytes."""
+        return mix((self.total[end] - self.total[start]) * _powers_to(len(self.data) + 1)[1][start] + (end - start).astype(U))
+
+    def documents(self) -> np.ndarray:
+        """The document of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 def words(data: np.ndarray, at: np.ndarray, fold: np.ndarray | None = LOWER) -> Words:
@@ -82,7 +91,7 @@ def words(data: np.ndarray, at: np.ndarray, fold: np.ndarray | None = LOWER) ->
     total = np.zeros(n + 1, U)
     np.cumsum(_CODE[data] * power[:n], out=total[1:])
     h = mix((total[end] - total[start]) * back[start] + (end - start).astype(U))
-    return Words(h, start, end, np.searchsorted(start, at), data, at)
+    return Words(h, start, end, np.searchsorted(start, at), data, at, total)
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reportlens.llm import minhash, tokens
+from reportlens.llm import gam, minhash, tokens, trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100), bands=25, rows=5)
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a generalised additive model."""
+    docs = table(spark, sf_dir, "documents")
+    return gam.scores(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules: base counts and the verdict of boosted trees."""
+    docs = table(spark, sf_dir, "documents")
+    return trees.verdicts(docs, trees.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as Re-Pair blocks and read back."""
     return tokens.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_quality_gam, op8_quality_rules, op9_token_ids)}
