@@ -5,7 +5,7 @@
 3. Minima are cut into bands; texts that agree in a band are candidates. Buckets are never expanded into
    all pairs: their most central member is compared with all, then a random member with those that are
    still apart, and only members of different components go on to the last round, where blocks of bounded size
-   compare signatures and pass on what can reach the threshold.
+   compare signatures of 512 minima and pass on what can reach the threshold.
 4. Every link is confirmed on the full sets.
 5. Components come from alternating large-star and small-star.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from reportlens.llm.arrays import U, constants, mix, pieces, shingles
 from reportlens.session import materialize
 
-#: Members of a bucket that meet in one task in the last round.
-BLOCK = 512
+#: Members of a bucket that meet in one task in the last round, and the minima that they compare there.
+BLOCK, WIDE = 1024, 512
 #: Shingles hashed at once.
 STEP = 2048
 
@@ -42,7 +42,7 @@ def _signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, band keys, and one byte of each minimum."""
+    """doc_id, n_shingles, two digests of the set, band keys."""
     a, b, band_of = constants(21, bands * rows), constants(22, bands * rows), constants(23, bands)
     turn = constants(24, rows)
 
@@ -51,7 +51,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             ids = batch.column("doc_id")
             for first, stop, w in pieces(batch.column("text")):
                 h, at = shingles(w, words)
-                n, d1, d2, keys, sig = [], [], [], [], []
+                n, d1, d2, keys = [], [], [], []
                 for k in range(stop - first):
                     own = np.unique(h[at[k]: at[k + 1]])
                     n.append(len(own))
@@ -61,17 +61,15 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                         low = _signature(own, a, b)
                         by_band = low.reshape(bands, rows)
                         keys.append(mix((by_band * turn).sum(axis=1, dtype=U) + band_of).view(np.int64))
-                        sig.append((low >> U(40)).astype(np.uint8).tobytes())
                     else:
                         keys.append(None)
-                        sig.append(None)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(first, stop - first), pa.array(n, pa.int64()), pa.array(np.array(d1, U).view(np.int64)),
-                    pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()),
-                ], ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
+                    pa.array(np.array(d2, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+                ], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -87,6 +85,18 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def wide_signatures(sets: DataFrame) -> DataFrame:
+    """rep and one byte of each of WIDE minima: a finer estimate for the few documents whose buckets stay open."""
+    a, b = constants(25, WIDE), constants(26, WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [(_signature(np.frombuffer(x.as_buffer(), U), a, b) >> U(40)).astype(np.uint8).tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sig, pa.binary())], ["rep", "sig"])
+
+    return sets.mapInArrow(run, "rep long, sig binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity `share[0] / share[1]`."""
     num, den = share
@@ -143,7 +153,7 @@ def _hub_pairs(members: DataFrame, rank: Column) -> DataFrame:
     return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
-def _block_pairs(members: DataFrame, reps: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _block_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): pairs of different components that meet in a bucket and whose signatures can reach the threshold.
 
     A bucket of n members is dealt into ceil(n / BLOCK) blocks; each pair of blocks is one group. A pair that
@@ -151,7 +161,9 @@ def _block_pairs(members: DataFrame, reps: DataFrame, share: tuple[int, int]) ->
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = members.join(reps.select(F.col("doc_id").alias("rep"), "bands", "sig"), "rep").withColumn("own", own).withColumn(
+    some = sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    marked = materialize(reps.select(F.col("doc_id").alias("rep"), "bands").join(wide_signatures(some), "rep"), "minhash-wide")
+    spread = members.join(marked, "rep").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("key", "rep", "root", "bands", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -183,7 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     marked = materialize(signatures(docs, words, bands, rows), "minhash")
     linked = marked.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(linked.groupBy("d1", "d2", "n_shingles").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-classes")
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
     # A repeated id with another text is one document: its classes share a node.
     each = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
     shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -208,7 +220,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
         apart = _rooted(members, roots)
         mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         apart = materialize(apart.join(mixed, "key", "left_semi"), "minhash-open")
-        pairs = _block_pairs(apart, reps, share) if last else _hub_pairs(apart, F.xxhash64("key", "rep"))
+        pairs = _block_pairs(apart, reps, sets, share) if last else _hub_pairs(apart, F.xxhash64("key", "rep"))
         links = materialize(confirmed(pairs, sets, share), "minhash-links")
         if not links.isEmpty():
             edges = edges.union(links)
