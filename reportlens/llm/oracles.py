@@ -35,4 +35,38 @@ OP1 = f"""
 with recursive {near_duplicates('documents', 3, 85, 100)}
 select doc_id, cast(n_shingles as bigint) as n_shingles, component_id, doc_id = component_id as kept from classes"""
 
-ORACLES = {"op1_minhash_dedup": OP1}
+
+
+def leaks(documents: str, benchmark: str) -> str:
+    """CTEs up to `leaks` (doc_id, item_id, start, similarity): all windows of items that share a shingle, compared in full."""
+    return f"""
+lk_words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as ws from {documents}),
+lk_grams as (
+  select doc_id, p, array_to_string(ws[p:p + 4], ' ') as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as p from lk_words where len(ws) >= 5)),
+lk_items as (
+  select item_id, len(ws) - 4 as n, ws, unnest(range(1, len(ws) - 3)) as p
+  from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as ws from {benchmark}) where len(ws) >= 5),
+lk_own as (select item_id, n, array_to_string(ws[p:p + 4], ' ') as g, count(*) as c from lk_items group by all),
+lk_pairs as (select distinct d.doc_id, i.item_id, i.n from lk_grams d join lk_own i on i.g = d.g),
+lk_last as (select doc_id, len(ws) - 4 as m from lk_words),
+lk_windows as (
+  select doc_id, item_id, n, m, unnest(range(1, greatest(m - n, 0) + 2)) as start from lk_pairs join lk_last using (doc_id)),
+lk_counts as (
+  select w.doc_id, w.item_id, w.start, w.n, w.m, d.g, count(*) as c
+  from lk_windows w join lk_grams d on d.doc_id = w.doc_id and d.p >= w.start and d.p < w.start + w.n
+  where exists (select 1 from lk_own o where o.item_id = w.item_id and o.g = d.g) group by all),
+lk_sums as (
+  select doc_id, item_id, start, n, m, sum(least(k.c, o.c)) as c from lk_counts k join lk_own o using (item_id, n, g) group by all),
+lk_hits as (
+  select doc_id, item_id, start - 1 as start, c / (n + least(n, m) - c) as similarity from lk_sums where 100 * c >= 80 * (n + least(n, m) - c)),
+leaks as (
+  select doc_id, item_id, start, similarity from (
+    select *, row_number() over (partition by doc_id, item_id order by similarity desc, start) as k from lk_hits) where k = 1)"""
+
+
+OP4 = f"""
+with {leaks('documents', 'benchmark')}
+select doc_id, item_id, cast(start as int) as start, similarity from leaks"""
+
+ORACLES = {"op1_minhash_dedup": OP1, "op4_decontaminate": OP4}

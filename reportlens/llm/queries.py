@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reportlens.llm import gam, minhash, tokens, trees
+from reportlens.llm import decontaminate, gam, minhash, tokens, trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100), bands=25, rows=5)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the best window of each."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "start", "similarity")
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a generalised additive model."""
     docs = table(spark, sf_dir, "documents")
@@ -35,4 +41,4 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_quality_gam, op8_quality_rules, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_decontaminate, op6_quality_gam, op8_quality_rules, op9_token_ids)}
