@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportlens.llm import decontaminate, gam, minhash, tokens, trees
+from reportlens.llm import decontaminate, gam, minhash, mixing, tokens, trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100), bands=25, rows=5)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix with source weights 3, 1, 2 takes of each document."""
+    return mixing.drawn(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"),
+        (F.col("mx_size") * F.size("mx_draws")).alias("taken"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the best window of each."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
@@ -41,4 +49,4 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_decontaminate, op6_quality_gam, op8_quality_rules, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op4_decontaminate, op6_quality_gam, op8_quality_rules, op9_token_ids)}
