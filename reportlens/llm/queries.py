@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlens.llm import decontaminate, gam, minhash, mixing, tokens, trees
+from reportlens.llm import decontaminate, gam, lm, minhash, mixing, tokens, trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.scores(docs, gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a unigram and by a maximum-entropy model."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules: base counts and the verdict of boosted trees."""
     docs = table(spark, sf_dir, "documents")
@@ -49,4 +54,4 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op4_decontaminate, op6_quality_gam, op8_quality_rules, op9_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op4_decontaminate, op6_quality_gam, op7_lm_score, op8_quality_rules, op9_token_ids)}
