@@ -69,4 +69,17 @@ OP4 = f"""
 with {leaks('documents', 'benchmark')}
 select doc_id, item_id, cast(start as int) as start, similarity from leaks"""
 
-ORACLES = {"op1_minhash_dedup": OP1, "op4_decontaminate": OP4}
+OP3 = """
+with c_turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+c_whole as (
+  select conv_id, count(*) as n, list(concat(length(role), ':', role, length(text), ':', text) order by place) as turns,
+    string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' order by place) as text
+  from c_turns group by conv_id),
+c_first as (select turns, min(conv_id) as conv_id from c_whole group by turns),
+c_prefixes as (select distinct array_to_string(w.turns[1:k], chr(1)) as p, k from (select turns, n, unnest(range(1, n)) as k from c_whole) w)
+select w.conv_id, w.n as n_turns, w.text from c_whole w join c_first f on f.conv_id = w.conv_id
+where not exists (select 1 from c_prefixes p where p.k = w.n and p.p = array_to_string(w.turns, chr(1)))"""
+
+ORACLES = {"op1_minhash_dedup": OP1, "op3_chat_format": OP3, "op4_decontaminate": OP4}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlens.llm import decontaminate, gam, lm, minhash, mixing, tokens, trees
+from reportlens.llm import chat, decontaminate, gam, licenses, lm, minhash, mixing, secrets, tokens, trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,22 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mx_size") * F.size("mx_draws")).alias("taken"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations without snapshots of longer ones, rendered with chat markers."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the best window of each."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "start", "similarity")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed patterns and strings of few characters per token."""
+    return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a generalised additive model."""
     docs = table(spark, sf_dir, "documents")
@@ -54,4 +64,9 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op4_decontaminate, op6_quality_gam, op7_lm_score, op8_quality_rules, op9_token_ids)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in all documents: a row per match."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_secrets, op6_quality_gam, op7_lm_score, op8_quality_rules, op9_token_ids, op10_licenses)}
