@@ -17,6 +17,7 @@ ordered by a hash of the text, then the text; other columns are not read.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -35,13 +36,13 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Pairs rarer than this in a block are left alone; a rule costs 12 bytes.
 MIN_PAIRS = 24
 #: Segments whose ids a worker remembers, and new ones that are encoded in one string.
-REMEMBERED, TOGETHER = 600_000, 256
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s |\s\Z| \s|\A ")
+REMEMBERED, TOGETHER = 1_000_000, 256
+_AFTER, _BEFORE = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
 
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     opens = np.array([str(tokenizer.id_to_token(k)).startswith("\u0120") for k in range(tokenizer.get_vocab_size())])
@@ -55,7 +56,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     and the ids of each segment are remembered. Texts with other runs of white space are encoded whole.
     """
     tokenizer, opens, opening, spaced = _tokenizer(path)
-    cut = [[text] if _UNEVEN.search(text) else text.split(" ") for text in texts]
+    cut = [[text] if text[:1] == " " or _AFTER.search(text) or _BEFORE.search(text) else text.split(" ") for text in texts]
     if len(opening) + len(spaced) > REMEMBERED:
         opening.clear()
         spaced.clear()
@@ -86,35 +87,40 @@ def pack(docs: list[np.ndarray], min_pairs: int = MIN_PAIRS) -> bytes:
     doc = np.repeat(np.arange(len(docs), dtype=np.uint32), ids)
     base = int(seq.max()) + 1 if len(seq) else 0
     lefts, rights, lengths = [], [], np.ones(base, np.uint32)
+    recent, none = 0, np.iinfo(np.uint64).max
     while len(seq) > 1:
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        pair[doc[:-1] != doc[1:]] = np.iinfo(np.uint64).max
+        # Pairs without a recent symbol were counted before; when none of the others is frequent, all are counted once more.
+        touched = (seq[:-1] >= recent) | (seq[1:] >= recent) if recent else np.ones(len(seq) - 1, bool)
+        some = np.flatnonzero(touched & (doc[:-1] == doc[1:]))
+        pair = (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
         # Pairs whose bucket is too small need not be sorted.
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
-        some = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= min_pairs)[bucket] & (pair != np.iinfo(np.uint64).max))
-        order = np.argsort(pair[some], kind="stable")
-        ordered = pair[some][order]
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int32)
+        maybe = (np.bincount(bucket, minlength=1 << 18) >= min_pairs)[bucket]
+        some, pair = some[maybe], pair[maybe]
+        order = np.argsort(pair)
+        ordered = pair[order]
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(ordered)))
         often = count >= min_pairs
         if not often.any():
-            break
+            if not recent:
+                break
+            recent = 0
+            continue
         # All frequent pairs of a round at once, the more frequent first where two overlap.
         value = ordered[edge[often]]
         priority = np.empty(len(value), np.int64)
         priority[np.argsort(-count[often], kind="stable")] = np.arange(len(value))
         of = np.full(len(pair), -1, np.int32)
-        of[some[order]] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), count)
-        hit = np.flatnonzero(of >= 0)
-        of = of[hit]
-        hit, of = _disjoint(hit, priority[of], of)
+        of[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), count)
+        keep = of >= 0
+        hit, of = _disjoint(some[keep], priority[of[keep]], of[keep])
         used, rule = np.unique(of, return_inverse=True)
-        first = base + sum(map(len, lefts))
+        recent = base + sum(map(len, lefts))
         lefts.append((value[used] >> np.uint64(32)).astype(np.uint32))
         rights.append((value[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         lengths = np.append(lengths, lengths[lefts[-1]] + lengths[rights[-1]])
-        seq = seq.copy()
-        seq[hit] = (first + rule).astype(np.uint32)
+        seq[hit] = (recent + rule).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
         seq, doc = seq[stay], doc[stay]
@@ -167,16 +173,36 @@ class Block:
         self.seq = take(symbols, f"<u{take(1)[0]}").astype(np.uint32)
         self.first = np.concatenate([[0], np.cumsum(self.symbols, dtype=np.int64)])
 
+    @functools.cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Expansions of all nonterminals end to end, and where each begins. Rules only name earlier symbols."""
+        first = np.concatenate([[0], np.cumsum(self.length, dtype=np.int64)])
+        flat = np.empty(first[-1], np.uint32)
+        for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
+            at = first[k]
+            for x in (a, b):
+                if x < self.base:
+                    flat[at] = x
+                    at += 1
+                else:
+                    n = self.length[x - self.base]
+                    flat[at: at + n] = flat[first[x - self.base]: first[x - self.base] + n]
+                    at += n
+        return flat, first
+
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        while len(seq) and (deep := seq >= self.base).any():
-            # Each nonterminal makes room for its two parts.
-            place = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(deep)[:-1]])
-            out = np.empty(len(seq) + int(deep.sum()), np.uint32)
-            rule = seq[deep] - self.base
-            out[place[~deep]] = seq[~deep]
-            out[place[deep]], out[place[deep] + 1] = self.left[rule], self.right[rule]
-            seq = out
-        return seq
+        deep = np.flatnonzero(seq >= self.base)
+        if not len(deep):
+            return seq.astype(np.uint32)
+        flat, first = self._flat
+        rule = seq[deep] - self.base
+        size = np.ones(len(seq), np.int64)
+        size[deep] = self.length[rule]
+        # Terminals are looked up behind the expansions.
+        start = np.arange(len(seq)) + len(flat)
+        start[deep] = first[rule]
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.concatenate([flat, seq])[at]
 
     def document(self, k: int) -> np.ndarray:
         return self._expand(self.seq[self.first[k]: self.first[k + 1]])
