@@ -10,6 +10,7 @@ repeated rows are scored each; without labelled rows every score is 0.5. Labels,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlens.llm.docstats import FEATURES, held_out, measured, training_rows
+from reportlens.llm.arrays import pieces
+from reportlens.llm.docstats import FEATURES, held_out, measure, measured, training_rows
 
 #: Labelled rows used at most.
 TRAINING_ROWS = 20_000
@@ -138,3 +140,13 @@ def scores(docs: DataFrame, model: Gam) -> DataFrame:
     assert len(model.tables) == len(FEATURES)
     scored = measured(docs, {"score": "double"}, lambda _, x: [pa.array(model.score(x))])
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose score is `least` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, stop, w in pieces(batch.column("text"), fold=None):
+                yield batch.slice(k, stop - k).filter(pa.array(model.score(measure(w)[1]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlens.llm.arrays import U, constants, mix, pieces, shingles
@@ -231,3 +231,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     return marked.select("doc_id", "n_shingles").join(of_class, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4) -> DataFrame:
+    """The rows of `docs`, with all columns, that stay: one of each class. Of rows that repeat an id the one with the least text stays."""
+    found = near_duplicates(docs, words, share, bands, rows).where("doc_id is not null")
+    dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("nd_id")).distinct(), "minhash-dropped")
+    twice = materialize(found.where("kept").groupBy(F.col("doc_id").alias("nd_id")).count().where("count > 1").select("nd_id"), "minhash-repeated")
+    own = docs["doc_id"].cast("long")
+    once = docs.join(dropped, own == dropped["nd_id"], "left_anti").join(twice, own == twice["nd_id"], "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = docs.join(twice, own == twice["nd_id"], "left_semi").withColumn("nd_turn", F.row_number().over(order)).where("nd_turn = 1").select(*docs.columns)
+    return once.unionByName(first)
