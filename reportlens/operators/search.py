@@ -1,28 +1,34 @@
 """Cosine search of many questions over stored vectors.
 
 The vectors stay where they are: a block of questions of bounded size goes to every task, which
-scores Arrow batches with one matrix product and keeps its best hits per question. Only those
-few rows are shuffled. More questions than fit a block take further passes, so there is no limit
-on their number and no join of questions with chunks.
+scores Arrow batches with one matrix product and keeps its best hits per question. Only ids and
+vectors are scored; company, year, page and text are joined to the few winners. More questions than fit a block take
+further passes, which are parts of one lazy plan, so there is no limit on their number and no join of questions with chunks.
+
+Vectors have a stated dimension. Questions of another one are refused before anything runs; chunks of another one
+are no hits of any question and are returned by `other_dimension`, to be sent to the error table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.answers import NOTHING_FOUND
-from ..session import workspace
+from ..functions.vectors import cosine_similarity, unit
 
 BLOCK_BYTES = 16 << 20
 MATRIX_CELLS = 2 << 20
+#: Candidates that a task holds before it keeps the best of each question.
+PENDING = 1 << 18
 DEFAULT_THRESHOLD = 0.4
 DEFAULT_K = 5
 # Scores are ordered at this many decimals: the last bits depend on how a product is blocked.
@@ -46,139 +52,140 @@ def similarity_threshold(similarity: Column, threshold: float = DEFAULT_THRESHOL
     return similarity > threshold if strict else similarity >= threshold
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """Questions in lists of at most `BLOCK_BYTES` of vector data; one block is on the driver at a time."""
+def other_dimension(chunks: DataFrame, dim: int) -> DataFrame:
+    """Chunks whose vector is there but not of `dim` numbers, in the shape of the error table's input."""
+    size = F.size("embedding")
+    return chunks.where(F.col("embedding").isNotNull() & (size != dim)).withColumn(
+        "error", F.concat(F.lit("vector of "), size.cast("string"), F.lit(f" dimensions instead of {dim}")))
+
+
+def dimension(queries: DataFrame, dim: int | None = None) -> int:
+    """The stated dimension, or the one that all questions share; a question of another one is an error before anything runs."""
+    found = {r.n for r in queries.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).distinct().take(3)}
+    if len(found | ({dim} - {None})) > 1:
+        raise ValueError(f"questions have vectors of {sorted(found)} dimensions" + (f" instead of {dim}" if dim else ""))
+    return dim or next(iter(found), 0)
+
+
+def _blocks(queries: DataFrame, dim: int) -> Iterator[list]:
+    """Questions in lists of at most `BLOCK_BYTES` of vector data."""
     rows = queries.where(F.col("embedding").isNotNull()).select(
         "query_id", "embedding", "company", "year").toLocalIterator(prefetchPartitions=False)
-    first = next(rows, None)
-    if first is None:
-        return
-    size = max(1, BLOCK_BYTES // (8 * max(1, len(first.embedding))))
-    rows = chain([first], rows)
-    while block := list(islice(rows, size)):
+    while block := list(islice(rows, max(1, BLOCK_BYTES // (8 * max(1, dim))))):
         yield block
 
 
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; nan for a row of zeros, which is similar to nothing."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(length == 0, np.nan, length)
+
+
 class _Scorer:
-    """Scores Arrow batches against one block of questions."""
-
-    def __init__(self, block: list, threshold: float, strict: bool, k: int | None, carry: list[str],
-                 schema: pa.Schema, probes: list[set] | None = None):
-        self.ids = [r.query_id for r in block]
-        self.dim = len(block[0].embedding)
-        m = np.array([r.embedding for r in block], dtype=np.float64)
-        self.matrix = m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, np.nan, n)
+    """Scores Arrow batches of (chunk_id, company, year, list_id, embedding) against one block of questions."""
+
+    def __init__(self, block: list, dim: int, threshold: float, strict: bool, k: int | None, probes: np.ndarray | None):
+        self.ids = np.array([r.query_id for r in block])
+        self.dim, self.threshold, self.strict, self.k, self.probes = dim, threshold, strict, k, probes
+        self.matrix = _unit_rows(np.array([r.embedding for r in block], dtype=np.float64))
         self.companies = [None if r.company is None else r.company.lower() for r in block]
         self.years = [r.year for r in block]
-        self.threshold, self.strict, self.k, self.carry, self.schema = threshold, strict, k, carry, schema
-        self.probes = probes
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(batch.num_rows, self.dim).astype(np.float64)
-        length = np.linalg.norm(x, axis=1)
-        sims = np.round(self.matrix @ x.T / np.where(length == 0, np.nan, length), SCORE_DECIMALS)
+        sims = np.round(self.matrix @ _unit_rows(flat.reshape(batch.num_rows, self.dim).astype(np.float64)).T, SCORE_DECIMALS)
         ok = sims > self.threshold if self.strict else sims >= self.threshold
-        if any(c is not None for c in self.companies):
-            names = [None if v is None else v.lower() for v in batch.column("company").to_pylist()]
-            masks = {c: np.array([n is not None and c in n for n in names]) for c in set(self.companies) - {None}}
-            for i, c in enumerate(self.companies):
-                if c is not None:
-                    ok[i] &= masks[c]
+        wanted = sorted(set(self.companies) - {None})
+        if wanted:
+            names = pc.utf8_lower(batch.column("company"))
+            masks = {c: pc.fill_null(pc.match_substring(names, c), False).to_numpy(zero_copy_only=False) for c in wanted}
+            ok &= np.stack([np.ones(batch.num_rows, bool) if c is None else masks[c] for c in self.companies])
         if any(y is not None for y in self.years):
             years = batch.column("year").to_numpy(zero_copy_only=False)
-            for i, y in enumerate(self.years):
-                if y is not None:
-                    ok[i] &= years == y
+            ok &= np.stack([np.ones(batch.num_rows, bool) if y is None else years == y for y in self.years])
         if self.probes is not None:
-            lists = batch.column("list_id").to_numpy(zero_copy_only=False)
-            for i, p in enumerate(self.probes):
-                ok[i] &= np.isin(lists, list(p))
+            ok &= self.probes[:, batch.column("list_id").to_numpy(zero_copy_only=False)]
         return np.where(ok, sims, -np.inf)
 
-    def rows(self, batch: pa.RecordBatch, sims: np.ndarray, i: int, keep: np.ndarray) -> list[tuple]:
-        cols = [batch.column(c).take(pa.array(keep)).to_pylist() for c in self.carry]
-        return list(zip([self.ids[i]] * len(keep), sims[i, keep].tolist(), *cols))
-
-    def best(self, batch: pa.RecordBatch, sims: np.ndarray, i: int) -> np.ndarray:
-        """Row numbers of this batch's candidates for question `i`; ties at the edge are all kept."""
-        hits = np.flatnonzero(np.isfinite(sims[i]))
-        if self.k is None or len(hits) <= self.k:
-            return hits
-        edge = np.partition(sims[i, hits], len(hits) - self.k)[len(hits) - self.k]
-        return hits[sims[i, hits] >= edge]
-
-    def emit(self, rows: list[tuple]) -> pa.RecordBatch:
-        arrays = [pa.array(list(v), type=f.type) for v, f in zip(zip(*rows), self.schema)]
-        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
-
-    def pieces(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slices whose score matrix stays within `MATRIX_CELLS`, however many questions there are."""
         step = max(1, MATRIX_CELLS // len(self.ids))
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+    def best(self, held: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The best k of each question among what is held: similarity descending, then chunk_id."""
+        q, sim = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+        ids = pa.concat_arrays([h[2] for h in held])
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort([rank, -sim, q])
+        q, sim = q[order], sim[order]
+        first = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - first < self.k
+        return q[keep], sim[keep], ids.take(pa.array(order[keep]))
+
+    def emit(self, q: np.ndarray, sim: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(sim), ids], ["query_id", "similarity", "chunk_id"])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: list[list[tuple]] = [[] for _ in self.ids]
+        held, size = [], 0
         # The score a row must reach to matter for a question; most are passed over once it is known.
         floor = np.full(len(self.ids), np.finfo(np.float64).min)
-        for piece in chain.from_iterable(map(self.pieces, batches)):
+        for piece in self.pieces(batches):
             sims = self.scores(piece)
-            for i in np.flatnonzero(sims.max(axis=1) >= floor):
-                found = self.rows(piece, sims, i, self.best(piece, sims, i))
-                if self.k is None:
-                    yield self.emit(found)
-                else:
-                    # similarity descending, then chunk_id (the first carried column) ascending
-                    top[i] = sorted(top[i] + found, key=lambda r: (-r[1], r[2]))[:self.k]
-                    if len(top[i]) == self.k:
-                        floor[i] = top[i][-1][1]
-        if rows := list(chain.from_iterable(top)):
-            yield self.emit(rows)
-
-
-def _arrow_type(t: T.DataType) -> pa.DataType:
-    simple = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
-    return simple[t]
+            q, row = np.nonzero(sims >= floor[:, None])
+            if not len(q):
+                continue
+            found = (q, sims[q, row], piece.column("chunk_id").take(pa.array(row)))
+            if self.k is None:
+                yield self.emit(*found)
+                continue
+            held.append(found)
+            size += len(q)
+            if size > PENDING:
+                held = [self.best(held)]
+                size = len(held[0][0])
+                full = np.flatnonzero(np.bincount(held[0][0], minlength=len(self.ids)) == self.k)
+                floor[full] = held[0][1][np.searchsorted(held[0][0], full, side="right") - 1]
+        if held:
+            yield self.emit(*self.best(held))
 
 
 def score(chunks: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD, strict: bool = True,
-          k: int | None = DEFAULT_K, probes: dict | None = None,
-          carry: tuple[str, ...] = ("company", "year", "page", "content")) -> DataFrame:
-    """Hits per task: `query_id, similarity, chunk_id` and the carried columns.
+          k: int | None = DEFAULT_K, probes: dict | None = None, dim: int | None = None) -> DataFrame:
+    """Hits per task: `query_id, similarity, chunk_id`.
 
     With `k`, each task emits at most `k` rows per question; without, every row over the threshold.
     """
-    spark = chunks.sparkSession
-    names = ["chunk_id", *[c for c in carry if c in chunks.columns]]
-    extra = [c for c in ("company", "year", "list_id") if c in chunks.columns and c not in names]
-    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("similarity", T.DoubleType()),
-              *[T.StructField(n, chunks.schema[n].dataType) for n in names]]
-    out = T.StructType(fields)
-    arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in fields])
+    out = T.StructType([queries.schema["query_id"], T.StructField("similarity", T.DoubleType()), chunks.schema["chunk_id"]])
+    dim = dimension(queries, dim)
+    lists = [] if probes is None else ["list_id"]
+    right = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
 
     def one_pass(block: list) -> DataFrame:
-        dim = len(block[0].embedding)
-        scorer = _Scorer(block, threshold, strict, k, names, arrow,
-                         None if probes is None else [probes[r.query_id] for r in block])
-        usable = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+        usable, mask = right, None
         if all(r.year is not None for r in block):
             usable = usable.where(F.col("year").isin(sorted({r.year for r in block})))
         if probes is not None:
-            usable = usable.where(F.col("list_id").isin(sorted(set().union(*[probes[r.query_id] for r in block]))))
-        return usable.select(*names, *extra, "embedding").mapInArrow(lambda it: scorer(it), out)
-
-    blocks = _blocks(queries)
-    first = next(blocks, None)
-    if first is None:
-        return spark.createDataFrame([], out)
-    second = next(blocks, None)
-    if second is None:
-        return one_pass(first)
-    path = workspace(spark, "hits")
-    for block in chain([first, second], blocks):
-        one_pass(block).write.mode("append").parquet(path)
-    return spark.read.schema(out).parquet(path)
+            near = [probes[r.query_id] for r in block]
+            usable = usable.where(F.col("list_id").isin(sorted(set().union(*near))))
+            mask = np.zeros((len(block), max(max(n) for n in near) + 1), bool)
+            for i, n in enumerate(near):
+                mask[i, list(n)] = True
+        scorer = _Scorer(block, dim, threshold, strict, k, mask)
+        filters = [c for c in ("company", "year") if any(getattr(r, c) is not None for r in block)]
+        return usable.select("chunk_id", *filters, *lists, "embedding").mapInArrow(lambda it: scorer(it), out)
+
+    passes = [one_pass(block) for block in _blocks(queries, dim)]
+    return reduce(DataFrame.unionByName, passes) if passes else chunks.sparkSession.createDataFrame([], out)
+
+
+def with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Document, company, year, page and text of the hits, looked up by chunk_id."""
+    rest = [c for c in ("document_id", "company", "year", "page", "content") if c in chunks.columns]
+    return hits.join(chunks.select("chunk_id", *rest), "chunk_id")
 
 
 def rank_hits(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
@@ -188,74 +195,77 @@ def rank_hits(hits: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 
 def query_chunk_similarity(chunks: DataFrame, queries: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
-    """Every (question, chunk) that passes the filters and the threshold."""
-    return score(chunks, queries, threshold, strict, k=None, carry=())
+    """(question, chunk) pairs that pass the filters and the threshold; the threshold is what bounds them."""
+    return score(chunks, queries, threshold, strict, k=None)
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                 k: int = DEFAULT_K, strict: bool = True) -> DataFrame:
     """Best `k` chunks per question by cosine over the threshold, with company and year filters."""
-    return rank_hits(score(chunks, queries, threshold, strict, k), k)
+    return with_content(rank_hits(score(chunks, queries, threshold, strict, k), k), chunks)
 
 
 def vector_topk_capped(chunks: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                        k: int = DEFAULT_K, candidates: int = 100) -> DataFrame:
-    """Fallback search: the first `candidates` eligible chunks per question (the cap is its meaning),
-    `>=` threshold, best `k`.
+    """Fallback search: the first `candidates` eligible chunks per question (the cap is its meaning, and counts chunks without
+    a vector too), `>=` threshold, best `k`.
 
-    Distinct filters are few, so the candidates of each filter pair are taken once by a top-n over
-    chunk ids, and questions meet them on that pair.
+    The distinct filters of the questions are few and become one array in the plan; one scan finds the first candidates of each, limited before
+    the shuffle, and questions meet them on their filter.
     """
-    spark = chunks.sparkSession
-
-    def one_pass(block: list) -> DataFrame:
-        parts = []
-        for f in block:
-            eligible = chunks.where(company_filter(F.col("company"), f.company) & year_filter(F.col("year"), f.year))
-            asked = queries.where(F.col("company").eqNullSafe(F.lit(f.company)) & F.col("year").eqNullSafe(F.lit(f.year)))
-            parts.append(score(eligible.orderBy("chunk_id").limit(candidates), asked, threshold, strict=False, k=k))
-        return reduce(DataFrame.unionByName, parts)
-
-    blocks = _filter_blocks(queries.select("company", "year").distinct())
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-        return rank_hits(score(chunks, queries, threshold, k=k), k)
-    if second is None:
-        return rank_hits(one_pass(first), k)
-    path = workspace(spark, "capped-hits")
-    for block in chain([first, second], blocks):
-        one_pass(block).write.mode("append").parquet(path)
-    return rank_hits(spark.read.parquet(path), k)
-
-
-def _filter_blocks(filters: DataFrame) -> Iterator[list]:
-    rows = filters.toLocalIterator()
-    while block := list(islice(rows, 32)):
-        yield block
+    filters = sorted({(r.company, r.year) for r in queries.select("company", "year").distinct().toLocalIterator()}, key=str)
+    if not filters:
+        return with_content(rank_hits(score(chunks, queries, threshold, k=k), k), chunks)
+    eligible = F.array(*(F.when(company_filter(F.col("company"), c) & year_filter(F.col("year"), y), F.lit(i)) for i, (c, y) in enumerate(filters)))
+    met = chunks.select("chunk_id", F.col("embedding").alias("_vector"), F.explode(F.array_compact(eligible)).alias("_filter"))
+    order = Window.partitionBy("_filter").orderBy("chunk_id")
+    first = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= candidates)
+    number = F.lit(None).cast("int")
+    for i, (c, y) in enumerate(filters):
+        number = F.when(F.col("company").eqNullSafe(F.lit(c)) & F.col("year").eqNullSafe(F.lit(y)), F.lit(i)).otherwise(number)
+    asked = queries.select("query_id", F.col("embedding").alias("_asked"), number.alias("_filter"))
+    similarity = F.round(cosine_similarity(F.col("_asked"), F.col("_vector")), SCORE_DECIMALS)
+    hits = first.join(asked, "_filter").where(F.size("_asked") == F.size("_vector")).withColumn("similarity", similarity).where(
+        similarity_threshold(F.col("similarity"), threshold, strict=False)).select("query_id", "similarity", "chunk_id")
+    return with_content(rank_hits(hits, k), chunks)
 
 
 # ---------------------------------------------------------------- inverted lists
 
 
-def build_lists(chunks: DataFrame, lists: int = 100, train_rows: int = 100_000, seed: int = 7):
-    """Assign every chunk to its nearest of `lists` centres; returns (chunks with `list_id`, centres).
-
-    Centres are trained on a bounded sample; every chunk is kept and assigned.
-    """
+def build_lists(chunks: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """Assign every chunk to its nearest of `lists` centres, found by k-means over all vectors; returns (chunks with `list_id`, centres)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    from ..functions.vectors import unit
-
-    usable = chunks.where(F.col("embedding").isNotNull())
-    ready = usable.withColumn("_features", array_to_vector(unit(F.col("embedding")).cast("array<double>")))
-    total = usable.count()
-    sample = ready.select("_features")
-    if total > train_rows:
-        sample = sample.sample(fraction=train_rows / total, seed=seed)
-    model = KMeans(k=min(lists, max(1, total // 5)), seed=seed, featuresCol="_features", predictionCol="list_id", maxIter=10).fit(sample)
+
+    ready = chunks.where(F.col("embedding").isNotNull()).withColumn(
+        "_features", array_to_vector(unit(F.col("embedding")).cast("array<double>")))
+    model = KMeans(k=lists, seed=seed, featuresCol="_features", predictionCol="list_id", maxIter=10).fit(ready.select("_features"))
     return model.transform(ready).drop("_features"), np.array(model.clusterCenters())
 
 
+def label_centres(chunks: DataFrame, label: str = "label") -> np.ndarray:
+    """One centre per label, in label order: the mean of its unit vectors. For collections that are sorted by topic already."""
+    means = chunks.where(F.col("embedding").isNotNull()).select(label, F.posexplode(unit(F.col("embedding"))).alias("at", "x")).groupBy(label, "at").agg(
+        F.avg(F.col("x").cast("double")).alias("x"))
+    rows = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).orderBy(label)
+    return np.array([[p.x for p in r.v] for r in rows.toLocalIterator()])  # a row per label
+
+
+def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Adds `list_id`, the most similar of given centres (the first of equals)."""
+    near, dim = _unit_rows(centres), centres.shape[1]
+    right = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).astype(np.float64)
+            sims = np.nan_to_num(np.round(_unit_rows(x) @ near.T, SCORE_DECIMALS))
+            yield batch.append_column("list_id", pa.array(sims.argmax(axis=1).astype(np.int32)))
+
+    return right.mapInArrow(run, T.StructType([*right.schema.fields, T.StructField("list_id", T.IntegerType())]))
+
+
 def write_lists(indexed: DataFrame, path: str) -> None:
     """Store by list; the rebalance hint lets AQE split a list that holds a large share of all rows."""
     indexed.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(path)
@@ -263,19 +273,13 @@ def write_lists(indexed: DataFrame, path: str) -> None:
 
 def vector_topk_ivf(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, nprobe: int = 10,
                     threshold: float = DEFAULT_THRESHOLD, k: int = DEFAULT_K) -> DataFrame:
-    """Approximate search: each question reads only its `nprobe` nearest lists (partition pruning)."""
-    parts = []
-    for block in _blocks(queries):
-        m = np.array([r.embedding for r in block], dtype=np.float64)
-        m /= np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-        near = np.argsort(((m[:, None, :] - centres[None]) ** 2).sum(-1), axis=1)[:, :nprobe]
-        probes = {r.query_id: {int(x) for x in row} for r, row in zip(block, near)}
-        some = queries.where(F.col("query_id").isin([r.query_id for r in block]))
-        parts.append(score(indexed, some, threshold, True, k, probes))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rank_hits(out, k)
+    """Approximate search: each question reads only its `nprobe` most similar lists (partition pruning)."""
+    near, probes, dim = _unit_rows(centres), {}, dimension(queries, centres.shape[1])
+    for block in _blocks(queries, dim):
+        sims = np.nan_to_num(np.round(_unit_rows(np.array([r.embedding for r in block], dtype=np.float64)) @ near.T, SCORE_DECIMALS))
+        for r, row in zip(block, np.argsort(-sims, axis=1, kind="stable")[:, :nprobe], strict=True):
+            probes[r.query_id] = set(row.tolist())
+    return with_content(rank_hits(score(indexed, queries, threshold, True, k, probes, dim), k), indexed)
 
 
 # ---------------------------------------------------------------- context and response

@@ -115,8 +115,9 @@ def chunks_upsert(spark, d):
 def error_sink(spark, d):
     _, failed = st.split_errors(audit_responses(spark, d))
     path = workspace(spark, "errors")
-    st.error_sink(failed, path, "audit_error", "auditor")
-    return spark.read.schema("document_id string, error_type string, message string, worker string").parquet(path)
+    for _ in range(2):  # a retry adds nothing
+        st.error_sink(failed, path, "audit_error", "auditor", "0")
+    return spark.read.schema("document_id string, error_type string, message string, worker string, run string").parquet(path).drop("run")
 
 
 @query
@@ -407,10 +408,12 @@ def vector_topk_capped(spark, d):
 @query
 def vector_topk_ivf(spark, d):
     path = workspace(spark, "lists")
-    indexed, centres = se.build_lists(t.vector_chunks(spark, d))
+    chunks = t.vector_chunks(spark, d)
+    centres = se.label_centres(chunks)
+    indexed = se.assign_lists(chunks, centres)
     se.write_lists(indexed, path)
     stored = spark.read.schema(indexed.schema).parquet(path)
-    return _hit_columns(se.vector_topk_ivf(stored, centres, t.search_queries(spark, d), threshold=t.THRESHOLD))
+    return _hit_columns(se.vector_topk_ivf(stored, centres, t.search_queries(spark, d), nprobe=3, threshold=t.THRESHOLD))
 
 
 # ---------------------------------------------------------------- set operations
@@ -655,6 +658,13 @@ def semantic_chunks(spark, d):
     return ch.semantic_chunks(docs).select("doc_id", "chunk_index", "content")
 
 
+@query
+def page_chunks(spark, d):
+    pages = texts(spark, d, "documents").select("doc_id", "text")
+    out = ch.page_chunks(pages, F.lit("documents"))
+    return out.select("doc_id", "chunk_index", "content", F.col("metadata")["chunk_size"].cast("long").alias("chunk_size"))
+
+
 @query
 def report_chunks(spark, d):
     out = ch.report_chunks(spread(t.reports(spark, d)), t.extracted(spark, d))
@@ -739,24 +749,25 @@ def stream_extract(spark, d):
 
 @query
 def stream_audit(spark, d):
-    reports = _streamed_reports(spark, d)[0]
+    reports = _streamed_reports(spark, d, _streamed_extract(spark, d))[0]
     return rp.list_reports(st.reports_upsert(None, reports))
 
 
-def _streamed_reports(spark, d):
+def _streamed_reports(spark, d, extracted):
     schema = t.extracted(spark, d).schema
     path = workspace(spark, "reports-out")
-    sg.stream_audit(spark, _streamed_extract(spark, d), audit_responses(spark, d), path, workspace(spark, "ck"), schema).awaitTermination()
+    sg.stream_audit(spark, extracted, audit_responses(spark, d), path, workspace(spark, "ck"), schema).awaitTermination()
     return sg.read_batches(spark, path, t.reports(spark, d).schema), path
 
 
 @query
 def stream_chunks(spark, d):
     schema = t.reports(spark, d).schema
-    _, reports = _streamed_reports(spark, d)
+    extracted = _streamed_extract(spark, d)
+    _, reports = _streamed_reports(spark, d, extracted)
     path = workspace(spark, "chunks-out")
-    sg.stream_chunks(spark, reports, schema, path, workspace(spark, "ck")).awaitTermination()
-    out = sg.read_batches(spark, path, "document_id string, page int, chunk_index int, content string, embedding array<float>")
+    sg.stream_chunks(spark, reports, schema, path, workspace(spark, "ck"), extracted, t.extracted(spark, d).schema).awaitTermination()
+    out = sg.current_chunks(spark, path, "document_id string, page int, chunk_index int, content string, embedding array<float>")
     return out.select("document_id", "page", "chunk_index", "content", F.size("embedding").alias("dim"))
 
 

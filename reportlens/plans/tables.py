@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.audit import build_reports
 from ..operators.claims import claim_metrics_choice, detect_claims, score_claims, top_claims
 from ..operators.extract import page_metrics
-from ..operators.search import rank_hits, score
+from ..operators.search import vector_topk
 from ..session import materialize
 from ..sources.derived import audit_responses, derived, judgements, report_pages, table
 
@@ -73,7 +73,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD, k: int = 5) -> DataFrame:
-    return rank_hits(score(vector_chunks(spark, sf_dir), search_queries(spark, sf_dir), threshold, True, k), k)
+    return vector_topk(vector_chunks(spark, sf_dir), search_queries(spark, sf_dir), threshold, k)
 
 
 __all__ = ["figures", "claims", "selected", "extracted", "reports", "vector_chunks", "search_queries", "hits", "judgements", "table"]

@@ -323,10 +323,10 @@ part("em_chunks", f"""select document_id, company, year, page, cast(row_number()
   case when c2 > 0 then printf('Scope 2 emissions: %.2f tCO2e. ', scope2_sum) else '' end) as content
  from (select *, row_number() over (partition by document_id order by page) as pn from sums) where pn <= 5 and (c1 > 0 or c2 > 0)""", "sums")
 
-part("pairs", """select a.query_id, v.chunk_id, v.company, v.year, v.page, v.content,
+PAIRS = """select a.query_id, v.chunk_id, v.company, v.year, v.page, v.content,
  round(list_cosine_similarity(cast(v.embedding as double[]), cast(a.embedding as double[])), 12) as similarity
- from vec v join ask a on (a.company is null or contains(lower(v.company), lower(a.company))) and (a.year is null or v.year = a.year)
- where v.embedding is not null""", "vec", "ask")
+ from vec v join ask a on (a.company is null or contains(lower(v.company), lower(a.company))) and (a.year is null or v.year = a.year)"""
+part("pairs", f"{PAIRS} where v.embedding is not null", "vec", "ask")
 
 
 def topk(threshold: float, k: int = 5, source: str = "pairs", op: str = ">") -> str:
@@ -360,7 +360,8 @@ part("intake", INTAKE, "up")
 twin("upload_intake", "select * from intake", "intake")
 twin("source_route", "select page_id, url, case when ends_with(lower(url), '#top') then 'direct' else 'page' end as route from pages")
 twin("link_extract", r"""select page_id, href, regexp_extract(url, '^(https?://[^/]+)', 1) || href as link from (
- select page_id, url, list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: contains(lower(h), '/th'))[1] as href from pages)
+ select page_id, url, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<script.*?</script>', '', 'g'),
+  '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')), lambda h: contains(lower(h), '/th'))[1] as href from pages)
  where href is not null""")
 twin("extract_json_sink", """select document_id, translate(company, ' /', '__') as company_key, year,
  concat(translate(company, ' /', '__'), '_', year, '.json') as file_name, scope1_total from totals""", "totals")
@@ -501,7 +502,19 @@ twin("compare_companies", """select request_id, cast(row_number() over (partitio
  company, year, scope1_total from requests join latest using (company)""", "requests", "latest")
 HIT = "query_id, rank, chunk_id, company, year, page, round(similarity, 6) as similarity"
 twin("vector_topk", f"select {HIT} from hits5", "hits5")
-part("capped", "select * from (select *, row_number() over (partition by query_id order by chunk_id) as cn from pairs) where cn <= 100", "pairs")
+# The cap counts chunks without a vector too.
+part("capped", f"""select * from (select *, row_number() over (partition by query_id order by chunk_id) as cn from ({PAIRS})) where cn <= 100 and similarity is not null""", "vec", "ask")
+part("centres", """select label, list(m order by slot) as centre from (
+  select label, slot, avg(x) as m from (
+    select label, generate_subscripts(embedding, 1) as slot,
+     unnest(list_transform(embedding, lambda x: cast(cast(x as double) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as float))) as x from vec)
+  group by label, slot) group by label""", "vec")
+part("probed", """select * from (select query_id, label as list_id, row_number() over (partition by query_id order by round(list_cosine_similarity(
+   cast(a.embedding as double[]), c.centre), 12) desc, label) as place from ask a, centres c) where place <= 3""", "ask", "centres")
+part("listed", """select chunk_id, label as list_id from (select v.chunk_id, c.label, row_number() over (partition by v.chunk_id order by round(list_cosine_similarity(
+   cast(v.embedding as double[]), c.centre), 12) desc, c.label) as place from vec v, centres c) where place = 1""", "vec", "centres")
+part("near_pairs", "select p.* from pairs p join listed l using (chunk_id) join probed b on b.query_id = p.query_id and b.list_id = l.list_id", "pairs", "listed", "probed")
+twin("vector_topk_ivf", f"select {HIT} from ({topk(0.05, source='near_pairs')})", "near_pairs")
 twin("vector_topk_capped", f"select {HIT} from ({topk(0.05, source='capped', op='>=')})", "capped")
 
 # ---------------------------------------------------------------- set operations
@@ -593,6 +606,7 @@ part("any_text", """select cast(doc_id as varchar) as document_id, 1 as page, te
 twin("generic_metrics", f"""select document_id, page, 'generic' as kind, cast(ord as integer) as ord, value, unit from ({generic_rows('any_text', 'text', 'document_id, page')})""", "any_text")
 twin("detect_claims", "select document_id, page, keyword_ord, claim, target_year, context from ev", "ev")
 twin("semantic_chunks", "select doc_id, chunk_index, content from packed_clean", "packed_clean")
+twin("page_chunks", "select doc_id, chunk_index, content, length(content) as chunk_size from packed_clean where length(content) >= 100", "packed_clean")
 twin("report_chunks", "select * from all_chunks", "all_chunks")
 twin("flatten_claims", "select company, year, claim, page, score from picked", "picked")
 twin("audit_fallback", """select document_id, status as audit_status, ai_summary, leaf_rating,

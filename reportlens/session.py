@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A new folder path under the cluster's checkpoint folder.
 
-    Only a local session without that setting falls back to a temporary folder; on a cluster a
-    machine-local path would be lost with its machine.
+    Only a local session without that setting gets a temporary folder, one for the application, which goes
+    when Python ends; on a cluster a machine-local path would be lost with its machine.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="reportlens-")
+        base = _local.get(spark.sparkContext.applicationId)
+        if base is None:
+            base = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="reportlens-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -33,9 +39,5 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per byte: a scan with fewer splits than slots is dealt out over the slots.
-
-    A scan of many splits, as at scale, is left alone, so large tables are never shuffled for this.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """For work that is heavy per byte: AQE deals the rows out in partitions of its advisory size."""
+    return df.hint("rebalance")

@@ -165,23 +165,17 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return bound(spark, text, **{s: table(spark, sf_dir, s) for s in used})
 
 
-def slots(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose texts need much work per byte."""
     return spread(table(spark, sf_dir, name))
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived pages, spread over all slots by page before their text is built.
+    """Derived pages, spread by page before their text is built, since a page is few bytes and much work.
 
-    A page is few bytes and much work; sized by bytes alone the pages would end up in a task or
-    two. Dealing out single pages also shares out a report of very many pages. (Spreading by the
-    grouping keys would be dropped as redundant, and the grouped rows packed together again.)
+    Dealing out single pages also shares out a report of very many pages.
     """
-    facts = derived(spark, sf_dir, "page_facts").repartition(slots(spark))
+    facts = spread(derived(spark, sf_dir, "page_facts"))
     return bound(spark, REPORT_PAGES_SQL.format(**SPARK_DIALECT), page_facts=facts)
 
 

@@ -74,10 +74,20 @@ def source_route(manifest: DataFrame, extension: str = ".pdf") -> DataFrame:
     return manifest.withColumn("route", F.when(F.lower("url").endswith(extension), "direct").otherwise("page"))
 
 
+#: What a browser does not take for markup.
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+#: Entities that stand in link targets; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#47;": "/", "&#x2F;": "/", "&#38;": "&", "&amp;": "&"}
+
+
 def hrefs(html: Column) -> Column:
-    """All link targets in document order, quotes removed."""
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: F.replace(
-        F.btrim(h, F.lit("\"'")), F.lit("&amp;"), F.lit("&")))
+    """All link targets in document order, without those in comments and scripts; quotes removed, entities decoded."""
+    def decoded(h: Column) -> Column:
+        h = F.btrim(h, F.lit("\"'"))
+        for entity, character in ENTITIES.items():
+            h = F.replace(h, F.lit(entity), F.lit(character))
+        return h
+    return F.transform(F.regexp_extract_all(F.regexp_replace(html, UNSEEN, ""), F.lit(HREF), F.lit(1)), decoded)
 
 
 def absolute_url(base: str, link: str) -> Column:

@@ -21,25 +21,30 @@ def extract_json_key(company: Column, year: Column) -> Column:
 def extract_json_sink(rows: DataFrame, path: str, buckets: int = 4) -> None:
     """Stage JSON by year and bucket of companies; rows of a (company, year) written before are replaced.
 
-    One file per company and year would mean millions of tiny files, so a folder holds many
-    companies: the folders this run touches are read, their other rows kept, and the merged rows
-    overwrite just those folders. `buckets` sizes the folders.
+    One file per company and year would mean millions of tiny files, so a folder holds many companies. The
+    folders that this run writes, and those that hold an older version of its rows, are rewritten. Other rows in them stay
+    as the lines they were, with all their fields, whatever columns this run has and however many buckets earlier runs used.
     """
     spark = rows.sparkSession
-    new = rows.withColumn("company_key", safe_key(F.col("company"))).withColumn(
-        "bucket", F.pmod(F.xxhash64("company_key"), F.lit(buckets)).cast("int"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+    keyed = rows.withColumn("company_key", safe_key(F.col("company")))
+    keys = keyed.select("company_key", "year").distinct()
+    new = keyed.select(F.to_json(F.struct(*[c for c in keyed.columns if c != "year"])).alias("value"), F.col("year").cast("int").alias("year"),
+                       F.pmod(F.xxhash64("company_key"), F.lit(buckets)).cast("int").alias("bucket"))
     merged = new
     if stored_before(spark, path):
-        touched = new.select("year", "bucket").distinct()  # at most years x buckets rows
-        old = spark.read.schema(fields).json(path).join(F.broadcast(touched), ["year", "bucket"], "left_semi")
-        kept = old.join(new.select("company_key", "year").distinct(), ["company_key", "year"], "left_anti")
+        lines = spark.read.schema("value string, year int, bucket int").format("text").load(path).withColumn(
+            "company_key", F.get_json_object("value", "$.company_key"))
+        replaced = lines.join(keys, ["company_key", "year"], "left_semi").select("year", "bucket")
+        touched = replaced.union(new.select("year", "bucket")).distinct()
+        kept = lines.join(keys, ["company_key", "year"], "left_anti").join(touched, ["year", "bucket"], "left_semi").where("value <> ''")
+        # An empty line stands for each folder, so that one left without rows is emptied too; readers pass over it.
+        blank = touched.select(F.lit("").alias("value"), "year", "bucket")
         # The folders are read and replaced in one run, so the merged rows are settled first.
-        merged = materialize(kept.unionByName(new), "merged-json")
+        merged = materialize(kept.select("value", "year", "bucket").union(new).union(blank), "merged-json")
     (
         merged.hint("rebalance", F.col("year"), F.col("bucket"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year", "bucket").json(path)
+        .partitionBy("year", "bucket").format("text").save(path)
     )
 
 
@@ -99,8 +104,9 @@ def error_rows(failed: DataFrame, error_type: str, worker: str, at: Column | Non
         F.lit(worker).alias("worker"), (at if at is not None else F.current_timestamp()).alias("timestamp"))
 
 
-def error_sink(failed: DataFrame, path: str, error_type: str, worker: str) -> None:
-    error_rows(failed, error_type, worker).write.mode("append").parquet(path)
+def error_sink(failed: DataFrame, path: str, error_type: str, worker: str, run: str) -> None:
+    """Each run (a batch id, a job id) owns its folder, so a retry of a run replaces what it wrote."""
+    error_rows(failed, error_type, worker).write.mode("overwrite").parquet(f"{path}/run={worker}-{run}")
 
 
 def report_backfill(processed: DataFrame, page_metrics: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,7 @@ from ..operators.chunks import report_chunks
 from ..operators.claims import claim_metrics_choice, detect_claims, score_claims, top_claims
 from ..operators.embed import embed_chunks
 from ..operators.extract import page_metrics
+from ..session import materialize
 from ..sources.pages import page_source, upload_intake
 from ..sources.store import chunks_upsert
 from ..taxonomy import METRIC_KINDS
@@ -67,14 +68,14 @@ def put_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema, before: int | None = None, with_batch: bool = False) -> DataFrame:
     """All batches, or those before one, so that a replayed batch does not see its own output."""
     fields = schema if isinstance(schema, str) else ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     rows = spark.read.schema(fields + ", batch int").option("basePath", path).parquet(path)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
-    return rows.drop("batch")
+    return rows if with_batch else rows.drop("batch")
 
 
 def stream_audit(spark: SparkSession, extracted_path: str, responses: DataFrame, out_path: str, checkpoint: str,
@@ -98,19 +99,34 @@ def stream_audit(spark: SparkSession, extracted_path: str, responses: DataFrame,
     return run_batches(reader.parquet(extracted_path), handle, checkpoint)
 
 
-def stream_chunks(spark: SparkSession, reports_path: str, reports_schema, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Audited reports -> chunks -> vectors -> chunk table without repeats."""
-    stream = spark.readStream.schema(reports_schema).parquet(f"{reports_path}/batch=*")
+def stream_chunks(spark: SparkSession, reports_path: str, reports_schema, out_path: str, checkpoint: str,
+                  extracted_path: str | None = None, extracted_schema=None) -> StreamingQuery:
+    """Audited reports -> chunks -> vectors. Each batch writes all chunks of its documents, and which documents it holds.
+
+    A document that is audited again comes in a later batch, which replaces its chunks: `current_chunks` reads the last version. No batch
+    reads what earlier ones wrote. With the extracted pages, reports without any text fall back to their figures.
+    A replayed audit batch leaves files under new names; its reports are then taken again, with the same chunks.
+    """
+    stream = spark.readStream.schema(reports_schema).option("ignoreMissingFiles", "true").parquet(f"{reports_path}/batch=*")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = chunks_upsert(None, report_chunks(batch))
-        if batch_id > 0:
-            seen = read_batches(spark, out_path, "chunk_id string", batch_id)
-            fresh = fresh.join(seen, "chunk_id", "left_anti")
-        put_batch(embed_chunks(fresh), out_path, batch_id)
+        order = Window.partitionBy("document_id").orderBy(F.desc("processed_at"))
+        latest = materialize(batch.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn"), "audited")
+        pages = None
+        if extracted_path:
+            pages = spark.read.schema(extracted_schema).parquet(extracted_path).join(
+                latest.select("document_id", "year").distinct(), ["document_id", "year"], "left_semi")
+        put_batch(embed_chunks(chunks_upsert(None, report_chunks(latest, pages))), f"{out_path}/chunks", batch_id)
+        put_batch(latest.select("document_id").distinct(), f"{out_path}/documents", batch_id)
     return run_batches(stream, handle, checkpoint)
 
 
+def current_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The chunks of each document's last batch; `schema` names `document_id`."""
+    last = read_batches(spark, f"{path}/documents", "document_id string", with_batch=True).groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return read_batches(spark, f"{path}/chunks", schema, with_batch=True).join(last, ["document_id", "batch"], "left_semi").drop("batch")
+
+
 def stream_dedup_uploads(spark: SparkSession, uploads_path: str, out_path: str, checkpoint: str,
                          files_per_batch: int | None = None) -> StreamingQuery:
     """Uploads accepted once per id, also when a message is delivered again in a later batch."""

@@ -12,9 +12,11 @@ from reportlens.operators import audit as au
 from reportlens.operators import chunks as ch
 from reportlens.operators import claims as cl
 from reportlens.operators import evaluate as ev
+from reportlens.operators import extract as ex
 from reportlens.operators import reports as rp
 from reportlens.operators import search as se
 from reportlens.plans import tables as t
+from reportlens.sources import pages as sp
 from reportlens.sources import store as st
 from reportlens.sources.derived import report_pages, table
 
@@ -184,6 +186,56 @@ def test_json_sink_replaces_only_its_keys(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("A_B_C", 2024, 1), ("D", 2023, 3), ("D", 2024, 9), ("E", 2022, 5)]
 
 
+def test_json_sink_keeps_columns_and_rows_of_other_runs(spark, tmp_path):
+    path = str(tmp_path / "json")
+    st.extract_json_sink(spark.createDataFrame([("A", 2024, 1, "note"), ("B", 2024, 2, "b")], "company string, year int, n int, note string"), path, buckets=2)
+    for _ in range(2):
+        st.extract_json_sink(spark.createDataFrame([("B", 2024, 7)], "company string, year int, n int"), path, buckets=5)
+    back = spark.read.schema("company string, year int, n int, note string").json(path).select("company", "year", "n", "note")
+    assert sorted(map(tuple, back.collect())) == [("A", 2024, 1, "note"), ("B", 2024, 7, None)]
+
+
+def test_error_sink_retry_adds_nothing(spark, tmp_path):
+    failed = spark.createDataFrame([("d1", "why")], "document_id string, error string")
+    for run in ("1", "1", "2"):
+        st.error_sink(failed, str(tmp_path), "t", "w", run)
+    assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
+def test_dedup_of_many_figures_on_a_page(spark):
+    import time
+    page = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda i: F.struct(
+        (i % 30_000).cast("double").alias("value"), F.lit("t").alias("unit"), i.cast("int").alias("page"), F.lit("s").alias("source"))).alias("m"))
+    start = time.time()
+    got = page.select(ex.page_metric_dedup(F.col("m")).alias("m")).first().m
+    assert time.time() - start < 8 and [m.page for m in got] == list(range(30_000))
+
+
+def test_vectors_of_other_dimension(spark):
+    chunks = spark.createDataFrame([(1, "c", 1, 1, "x", [1.0, 0.0]), (2, "c", 1, 1, "x", [1.0, 0.0, 0.0]), (3, "c", 1, 1, "x", None)],
+                                   "chunk_id long, company string, year int, page int, content string, embedding array<float>")
+    ask = "query_id long, question string, company string, year int, embedding array<float>"
+    one = spark.createDataFrame([(1, "q", None, None, [1.0, 0.0])], ask)
+    assert [r.chunk_id for r in se.vector_topk(chunks, one).collect()] == [1]
+    assert [(r.chunk_id, r.error) for r in se.other_dimension(chunks, 2).collect()] == [(2, "vector of 3 dimensions instead of 2")]
+    with pytest.raises(ValueError):
+        se.vector_topk(chunks, one.union(spark.createDataFrame([(2, "q", None, None, [1.0])], ask)))
+
+
+def test_search_scans_no_text_and_caps_in_one_scan(spark, sf):
+    chunks = t.vector_chunks(spark, sf)
+    assert "content" not in plan(se.score(chunks, t.search_queries(spark, sf)))
+    capped = se.vector_topk_capped(chunks, t.search_queries(spark, sf), 0.05)
+    assert len(re.findall(r"\bmapInArrow|MapInArrow", plan(capped))) == 0
+    assert "NestedLoop" not in plan(capped) and "Cartesian" not in plan(capped)
+
+
+def test_links_in_comments_and_scripts(spark):
+    html = "<!-- <a href='/old.pdf'>x</a> --><script>'<a href=\"/no.pdf\">'</script><a class=q href='/a&#47;b.pdf?x=1&amp;y=2'>y</a>"
+    got = sp.link_extract(spark.createDataFrame([(1, "http://h.org/p", html)], "page_id long, url string, html string")).collect()
+    assert [r.link for r in got] == ["http://h.org/a/b.pdf?x=1&y=2"]
+
+
 def test_json_scan_keeps_broken_rows_apart(spark, tmp_path):
     path = tmp_path / "in.json"
     path.write_text('{"a": 1}\n{broken\n{"a": 2}\n')
