@@ -1,4 +1,4 @@
-"""Text -> vector. The model is a pluggable batch function; the default needs none."""
+"""Text -> vector. A model is a pluggable batch function; the default, hashed words, is made of built-in functions."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 Encoder = Callable[[list[str]], np.ndarray]
 DEFAULT_DIM = 64
 
@@ -49,13 +51,32 @@ def hashed_words(dim: int = DEFAULT_DIM) -> Callable[[], Encoder]:
     return load
 
 
+def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """`hashed_words` as an expression: words to slots, counts of slots as what removing each takes away, scaled to length one."""
+    def slot(word: Column) -> Column:
+        return let(F.md5(word), lambda m: F.conv(F.substring(m, 1, 8), 16, 10).cast("long") % dim
+                   + F.when(F.substring(m, 9, 1) < "8", F.lit(0)).otherwise(F.lit(dim)))
+
+    def counts(slots: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda s: F.size(
+            F.array_remove(slots, s + dim)) - F.size(F.array_remove(slots, s)))
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return let(let(F.transform(words, slot), counts), scaled)
+
+
 def embedding(text: Column, load: Callable[[], Encoder] | None = None) -> Column:
-    """Vector of a text; `load` runs once per Python worker task, batches come through Arrow."""
-    loader = load or hashed_words()
+    """Vector of a text; a given `load` runs once per Python worker task, batches come through Arrow."""
+    if load is None:
+        return hashed_vector(text)
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = loader()
+        model = load()
         for texts in batches:
             yield pd.Series(list(model(texts.fillna("").tolist()).astype(np.float32)))
     return encode(text)

@@ -53,14 +53,14 @@ def make_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored report table."""
-    return stored(spark, sf_dir, "reports", lambda: make_reports(spark, sf_dir))
+    """Stored report table, by year."""
+    return stored(spark, sf_dir, "reports", lambda: make_reports(spark, sf_dir), "year")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, make, *partitions: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = materialize(make(), name)
+        _stored[key] = materialize(make(), name, *partitions)
     return _stored[key]
 
 
