@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
+HEX = re.compile(r"[0-9a-f]{24,}")  # runs of [0-9a-f]+ are maximal, so this finds the same as dropping short ones
 KINDS = ("assign", "access", "hex", "random")
-LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 STRING = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 RATIO = 2.3
@@ -35,7 +35,6 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}
 #: Words, numbers and names joined by marks; a random string is hardly ever one.
 _IDENTIFIER = re.compile(r"[+/_-]*(?:[A-Za-z]?[a-z]+\d{0,4}|[A-Z]+\d{0,4}|\d+)(?:[+/_-]+(?:[A-Za-z]?[a-z]+\d{0,4}|[A-Z]+\d{0,4}|\d+))*[+/_-]*")
 _CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+\d{0,4}")
-_RUN = re.compile(r"[0-9a-f]{24,}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,8 +49,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end)."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    # Runs are maximal, so looking for long ones only finds the same as dropping short ones.
-    found += [(m.start(), 2, m.end()) for m in _RUN.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return found
 
 
