@@ -87,18 +87,19 @@ def pack(docs: list[np.ndarray], min_pairs: int = MIN_PAIRS) -> bytes:
     doc = np.repeat(np.arange(len(docs), dtype=np.uint32), ids)
     base = int(seq.max()) + 1 if len(seq) else 0
     lefts, rights, lengths = [], [], np.ones(base, np.uint32)
-    recent, none = 0, np.iinfo(np.uint64).max
+    recent = 0
     while len(seq) > 1:
         # Pairs without a recent symbol were counted before; when none of the others is frequent, all are counted once more.
         touched = (seq[:-1] >= recent) | (seq[1:] >= recent) if recent else np.ones(len(seq) - 1, bool)
         some = np.flatnonzero(touched & (doc[:-1] == doc[1:]))
-        pair = (seq[some].astype(np.uint64) << np.uint64(32)) | seq[some + 1]
-        # Pairs whose bucket is too small need not be sorted.
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)).astype(np.int32)
-        maybe = (np.bincount(bucket, minlength=1 << 18) >= min_pairs)[bucket]
-        some, pair = some[maybe], pair[maybe]
-        order = np.argsort(pair)
-        ordered = pair[order]
+        # Pairs and places share one number, so that one plain sort groups them.
+        places, symbols = int(len(seq)).bit_length(), (base + sum(map(len, lefts))).bit_length()
+        if places + 2 * symbols > 64:
+            raise ValueError("block of too many different ids")
+        shift, mask = np.uint64(places), np.uint64((1 << places) - 1)
+        key = (((seq[some].astype(np.uint64) << np.uint64(symbols)) | seq[some + 1]) << shift) | some.astype(np.uint64)
+        key.sort()
+        ordered = key >> shift
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(ordered)))
         often = count >= min_pairs
@@ -111,14 +112,16 @@ def pack(docs: list[np.ndarray], min_pairs: int = MIN_PAIRS) -> bytes:
         value = ordered[edge[often]]
         priority = np.empty(len(value), np.int64)
         priority[np.argsort(-count[often], kind="stable")] = np.arange(len(value))
-        of = np.full(len(pair), -1, np.int32)
-        of[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), count)
-        keep = of >= 0
-        hit, of = _disjoint(some[keep], priority[of[keep]], of[keep])
+        of = np.full(len(seq), -1, np.int32)
+        keep = np.repeat(often, count)
+        of[(key[keep] & mask).astype(np.int64)] = np.repeat(np.arange(len(value), dtype=np.int32), count[often])
+        hit = np.flatnonzero(of >= 0)
+        of = of[hit]
+        hit, of = _disjoint(hit, priority[of], of)
         used, rule = np.unique(of, return_inverse=True)
         recent = base + sum(map(len, lefts))
-        lefts.append((value[used] >> np.uint64(32)).astype(np.uint32))
-        rights.append((value[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        lefts.append((value[used] >> np.uint64(symbols)).astype(np.uint32))
+        rights.append((value[used] & np.uint64((1 << symbols) - 1)).astype(np.uint32))
         lengths = np.append(lengths, lengths[lefts[-1]] + lengths[rights[-1]])
         seq[hit] = (recent + rule).astype(np.uint32)
         stay = np.ones(len(seq), bool)
