@@ -30,6 +30,8 @@ from reportlens.session import materialize
 
 WEIGHTS = (3, 1, 2)
 BLOCKS, SUB_BLOCKS, SHARDS = 64, 1024, 32
+#: Parts of an output shard that can be dealt to tasks of their own.
+PARTS = 4096
 #: Documents after the cut that may fill what is left of a target.
 FILL = 64
 
@@ -185,5 +187,5 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 17, factor: float = 1
     rows = drawn(docs, shards, seed, factor, limit).select(*docs.columns, F.explode("mx_draws").alias("mx_draw"))
     rows = rows.select(*docs.columns, F.col("mx_draw.mx_shard").alias("mx_shard"), F.xxhash64(
         F.lit(seed), "mx_draw.mx_pass", "mx_draw.mx_shard", docs["doc_id"]).alias("mx_place"))
-    # Shards are cut into parts so that a task holds a bounded share of a large one.
-    return rows.repartition("mx_shard", F.pmod("mx_place", F.lit(16))).sortWithinPartitions("mx_shard", "mx_place")
+    # Shards are cut into parts, so that tasks hold even shares however few or large the shards are.
+    return rows.repartition("mx_shard", F.pmod("mx_place", F.lit(PARTS))).sortWithinPartitions("mx_shard", "mx_place")
