@@ -16,6 +16,7 @@ from reportlens.operators import extract as ex
 from reportlens.operators import reports as rp
 from reportlens.operators import search as se
 from reportlens.plans import tables as t
+from reportlens.plans.queries import REGISTRY
 from reportlens.sources import pages as sp
 from reportlens.sources import store as st
 from reportlens.sources.derived import report_pages, table
@@ -123,6 +124,12 @@ def test_lists_find_most_neighbours(spark, sf, tmp_path):
     assert {(r.query_id, r.chunk_id) for r in everything.collect()} == exact
 
 
+def test_registered_lists_reach_recall(spark, sf):
+    exact = {(r.query_id, r.chunk_id) for r in REGISTRY["vector_topk"](spark, sf).collect()}
+    near = {(r.query_id, r.chunk_id) for r in REGISTRY["vector_topk_ivf"](spark, sf).collect()}
+    assert len(near & exact) / len(exact) >= 0.9
+
+
 JUDGED = [(1, "numeric", [16, 40]), (2, "numeric", [48, 49]), (3, "target", [4, 6, 12]), (4, "target", [21, 23]), (5, "comparative", None)]
 FOUND = {1: [16, 16, 16, 15], 2: [49, 49, 48, 48], 3: [6], 4: [21, 4], 5: [1, 2, 3]}
 
