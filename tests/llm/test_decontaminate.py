@@ -67,6 +67,15 @@ def test_same_as_brute_force(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((i or -1, t or "") for i, t in rows if (i, t) not in dirty)
 
 
+def test_copies_padded_by_one_word(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(404))) for k in range(20)]
+    rows = [(k, " ".join(t.split()[:-43] + ["zero"] * 43), 1, 2, "x") for k, t in items]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in got} == {(k, k, 0) for k, _ in items}
+    assert all(r.similarity == 357 / 443 for r in got)
+
+
 def test_radius_is_covered():
     rng = random.Random(1)
     masks = set(decontaminate._neighbours())
