@@ -2,7 +2,7 @@
 
 Base kinds are leftmost, non-overlapping matches, from which those that are too short are dropped. The method adds `random`: strings
 of STRING whose characters per token under a tiktoken vocabulary are at most RATIO, since natural words and code take 3 to 6 characters a token and
-random ones less than 2. Known digests, UUIDs, numbers and plain identifiers are left out, as is what overlaps a base span.
+random ones less than 2. Known digests, UUIDs, numbers and identifiers of parts that the vocabulary knows are left out, as is what overlaps a base span.
 Places count code points, ends are exclusive.
 
 Defined cases: a null text is empty; a null id is carried along; repeated rows are scanned each; spans of an empty text are ''. Texts are scanned whole, one at a time.
@@ -32,9 +32,11 @@ RATIO = 2.3
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-#: Words, numbers and names joined by marks; a random string is hardly ever one.
-_IDENTIFIER = re.compile(r"[+/_-]*(?:[A-Za-z]?[a-z]+\d{0,4}|[A-Z]+\d{0,4}|\d+)(?:[+/_-]+(?:[A-Za-z]?[a-z]+\d{0,4}|[A-Z]+\d{0,4}|\d+))*[+/_-]*")
-_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+\d{0,4}")
+#: Words, numbers and names joined by marks. Possessive, so that a failing end is found in linear time.
+_WORD = r"(?:[A-Z]?[a-z]++\d{0,4}+|[A-Z]++\d{0,4}+|\d++)"
+_IDENTIFIER = re.compile(rf"[+/_-]*+{_WORD}(?:[+/_-]++{_WORD})*+[+/_-]*+")
+_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[A-Z]{2,}(?=[A-Z][a-z]))++\d{0,4}+")
+_PART = re.compile(r"[A-Z]?[a-z]++|[A-Z]+(?![a-z])")
 
 
 @functools.lru_cache(maxsize=2)
@@ -54,8 +56,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(string: str) -> bool:
-    """Digests and identifiers that are public by nature."""
-    return bool(len(string) in DIGEST_LENGTHS and _DIGEST.fullmatch(string) or _UUID.fullmatch(string) or _IDENTIFIER.fullmatch(string) or _CAMEL.fullmatch(string))
+    """Digests and UUIDs, which are public by nature."""
+    return bool(len(string) in DIGEST_LENGTHS and _DIGEST.fullmatch(string) or _UUID.fullmatch(string))
+
+
+def identifier(string: str, encoding) -> bool:
+    """Numbers and names whose parts the vocabulary knows: parts of one token, all others with more than RATIO letters a token."""
+    if not (_IDENTIFIER.fullmatch(string) or _CAMEL.fullmatch(string)):
+        return False
+    parts = [(len(p), min(len(encoding.encode_ordinary(x)) for x in (p, p.lower()))) for p in _PART.findall(string)]
+    parts = [(n, tokens) for n, tokens in parts if tokens > 1]
+    return not parts or sum(n for n, _ in parts) > RATIO * sum(tokens for _, tokens in parts)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int]]:
@@ -63,7 +74,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding) -> list[
     for m in STRING.finditer(text):
         if known(m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
             continue
-        if len(m[0]) <= RATIO * len(encoding.encode_ordinary(m[0])):
+        if len(m[0]) <= RATIO * len(encoding.encode_ordinary(m[0])) and not identifier(m[0], encoding):
             out.append((m.start(), 3, m.end()))
     return out
 

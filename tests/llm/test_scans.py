@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -38,6 +39,21 @@ def test_random_strings():
     assert secrets.random_spans(random_ones[0], [(3, 0, 9)], encoding) == []
 
 
+def test_random_strings_of_one_case():
+    encoding = secrets.vocabulary(PATH, public_tokenizers.PATTERN)
+    for x in ("qzxkwjvbnmtrplkhgf", "XKQZVWJPLMTRBNHG", "qzxk1234-wjvb5678-mtrp9012"):
+        assert secrets.random_spans(f"a {x} b", [], encoding) == [(2, 3, 2 + len(x))], x
+    for x in ("MAX_RETRY_COUNT_VALUE", "HTTPServerConnectionPool2", "v-1234-5678-9012-3456", "1234567890123456789"):
+        assert secrets.random_spans(f"a {x} b", [], encoding) == [], x
+
+
+def test_patterns_take_linear_time():
+    start = time.process_time()
+    for x in ("a" * 5000 + "=", "A" * 5000 + "=", "word-" * 2000 + "aB1c", "aa/" * 2000 + "="):
+        secrets._IDENTIFIER.fullmatch(x), secrets._CAMEL.fullmatch(x), secrets._PART.findall(x)
+    assert time.process_time() - start < 2
+
+
 def test_scan(spark, sf):
     odd = [(None, "secret = 'abcdef1'"), (10**9, None), (10**9 + 1, ""), (3, "AKIA" + "Q7" * 9), (3, "AKIA" + "Q7" * 9), (10**9 + 2, "x " * 200000 + "token:AAAAAAAA")]
     data = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "1 as spans", "2 as n_hex")
