@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlens.llm import chat, decontaminate, gam, licenses, lm, minhash, mixing, secrets, tokens, trees
+from reportlens.llm import chat, decontaminate, gam, licenses, lm, minhash, mixing, nearest, secrets, spelling, tokens, trees, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_secrets, op6_quality_gam, op7_lm_score, op8_quality_rules, op9_token_ids, op10_licenses)}
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first 32 components of their covariance, scaled to variance one."""
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each vector whose id is divisible by 50."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word that each is a spelling of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_dedup, op2_mix_sources, op3_chat_format, op4_decontaminate, op5_secrets, op6_quality_gam, op7_lm_score, op8_quality_rules, op9_token_ids,
+    op10_licenses, op11_whiten, op12_nearest, op13_spelling)}
