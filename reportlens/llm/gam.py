@@ -5,12 +5,13 @@ feature's lookup table; then pairs of features that explain what is left get tab
 
 Fitted on a bounded, documented number of labelled rows on the driver; scoring is a pass over the whole table.
 Defined cases: null and empty texts are scored like any other (all statistics 0); a null id is scored and never held out;
-repeated rows are scored each; without labelled rows every score is 0.5. Labels, lang, source and doc_id are no inputs.
+repeated rows are scored each; very long texts are measured whole; statistics equal to a cut go to the lower bin, and of cuts or pairs of equal gain
+the first wins; other columns pass through `accepted`, whatever their names, and are not read; an empty table gives no rows; without
+labelled rows every score is 0.5. Labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,10 +144,9 @@ def scores(docs: DataFrame, model: Gam) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Gam, least: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all columns, whose score is `least` or more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, stop, w in pieces(batch.column("text"), fold=None):
-                yield batch.slice(k, stop - k).filter(pa.array(model.score(measure(w)[1]) >= least))
+    """The rows of `docs`, with all columns, whose score is `least` or more. Only texts and scores pass through Python."""
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(measure(w)[1]) for _, _, w in pieces(texts, fold=None)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(score, "double")(docs["text"].cast("string")) >= least)

@@ -13,7 +13,9 @@ A pair at the threshold is missed with a chance of (1 - t^rows)^bands: 4e-7 for
 (5e-5 for 0.80; 5e-8 with 32 bands of 4). The signature test lets pairs down to four standard deviations below the threshold pass.
 
 Defined cases: null or empty texts have no shingles and are linked with nothing; rows with a null id are
-left alone (component null, kept); repeated rows share their id's component; other columns are not read.
+left alone (component null, kept); repeated rows share their id's component; very long texts are hashed whole; of documents that could
+stand for a component the smallest id does; an empty table gives no rows; other columns are not read, and pass through `representatives` whatever their names.
+A bucket that stays open with n members in different components is compared in ceil(n / BLOCK)^2 / 2 groups: exact, and quadratic in such members.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlens.llm.arrays import U, constants, mix, pieces, shingles
+from reportlens.llm.names import free
 from reportlens.session import materialize
 
 #: Members of a bucket that meet in one task in the last round, and the minima that they compare there.
@@ -79,10 +82,12 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             ids = batch.column("doc_id")
             for first, stop, w in pieces(batch.column("text")):
                 h, at = shingles(w, words)
-                sets = [np.unique(h[at[k]: at[k + 1]]).tobytes() for k in range(stop - first)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, stop - first), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = [np.unique(h[at[k]: at[k + 1]]).view(np.int64) for k in range(stop - first)]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, stop - first), lists], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def wide_signatures(sets: DataFrame) -> DataFrame:
@@ -91,30 +96,20 @@ def wide_signatures(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [(_signature(np.frombuffer(x.as_buffer(), U), a, b) >> U(40)).astype(np.uint8).tobytes() for x in batch.column("shingles")]
+            sig = [(_signature(x.values.to_numpy().view(U), a, b) >> U(40)).astype(np.uint8).tobytes() for x in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sig, pa.binary())], ["rep", "sig"])
 
     return sets.mapInArrow(run, "rep long, sig binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity `share[0] / share[1]`."""
+    """The pairs (a, b) whose full sets reach the similarity `share[0] / share[1]`; sets are compared in the JVM, a pair at a time."""
     num, den = share
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep[k] = den * common >= num * (len(both) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x, y, nx, ny = (F.col(c) for c in ("x", "y", "nx", "ny"))
+    left, right = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s), F.size("shingles").alias(f"n{s}")) for i, s in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect(x, y))
+    both = pairs.join(left, "a").join(right, "b").where(den * F.least(nx, ny) >= num * F.greatest(nx, ny))
+    return both.where(den * common >= num * (nx + ny - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,6 +235,7 @@ def representatives(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     twice = materialize(found.where("kept").groupBy(F.col("doc_id").alias("nd_id")).count().where("count > 1").select("nd_id"), "minhash-repeated")
     own = docs["doc_id"].cast("long")
     once = docs.join(dropped, own == dropped["nd_id"], "left_anti").join(twice, own == twice["nd_id"], "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(twice, own == twice["nd_id"], "left_semi").withColumn("nd_turn", F.row_number().over(order)).where("nd_turn = 1").select(*docs.columns)
+    order = Window.partitionBy(docs["doc_id"]).orderBy(docs["text"])
+    turn = free("nd_turn", docs.columns)
+    first = docs.join(twice, own == twice["nd_id"], "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
     return once.unionByName(first)

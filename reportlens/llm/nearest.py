@@ -50,10 +50,15 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, np.linalg.norm(unit - scale[:, None] * code, axis=1)
 
 
+def in_turn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Scalar products of rows, added up from the first entry on, so that any plain loop gives the same bits."""
+    return np.ascontiguousarray((x * y).T).sum(axis=0)
+
+
 def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows scaled by a power of two to keep squares in range, their lengths, and unit vectors."""
     x = x / np.exp2(np.floor(np.log2(np.abs(x).max(axis=1))))[:, None]
-    length = np.sqrt((x * x).sum(axis=1))
+    length = np.sqrt(in_turn(x, x))
     return x, length, x / length[:, None]
 
 
@@ -104,7 +109,7 @@ def tile(vectors: np.ndarray, asks: list[int], stored: np.ndarray, ids: list[lis
             exact += len(i)
             for s in range(0, len(i), STEP):
                 x, y = i[s: s + STEP], j[s: s + STEP]
-                score = (q.x[x] * c.x[y]).sum(axis=1) / (q.length[x] * c.length[y])
+                score = in_turn(q.x[x], c.x[y]) / (q.length[x] * c.length[y])
                 for r, col, v in zip(x.tolist(), y.tolist(), score.tolist(), strict=True):
                     heap, them = heaps[r], ids[col]
                     if len(heap) == k and v < heap[0][0]:

@@ -82,4 +82,55 @@ c_prefixes as (select distinct array_to_string(w.turns[1:k], chr(1)) as p, k fro
 select w.conv_id, w.n as n_turns, w.text from c_whole w join c_first f on f.conv_id = w.conv_id
 where not exists (select 1 from c_prefixes p where p.k = w.n and p.p = array_to_string(w.turns, chr(1)))"""
 
-ORACLES = {"op1_minhash_dedup": OP1, "op3_chat_format": OP3, "op4_decontaminate": OP4}
+def _sum_of_products(a: str, b: str) -> str:
+    """Added up from the first entry on, in double precision."""
+    return f"list_reduce(list_transform(range(1, len({a}) + 1), lambda k: {a}[k] * {b}[k]), lambda x, y: x + y)"
+
+
+OP12 = f"""
+with nv_rows as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+nv_lengths as (select *, sqrt({_sum_of_products('e', 'e')}) as l from nv_rows),
+nv_pairs as (
+  select q.r, q.vec_id as query_id, c.vec_id, {_sum_of_products('q.e', 'c.e')} / (q.l * c.l) as score
+  from nv_lengths q join nv_lengths c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from nv_pairs) where rank <= 5"""
+
+#: Forms by leaving out each letter in turn: words that then agree differ by one replaced letter, a word that then is another has one more.
+OP13 = f"""
+with recursive sp_table as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(cast(n as bigint), range(8)), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+sp_runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) as w from documents),
+sp_bytes as (
+  select w, hex(encode(concat(coalesce(cast(doc_id as varchar), ''), ':', w))) as x from sp_runs where length(w) >= 7),
+sp_sums as (
+  select w, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, len(x), 2), lambda k: cast('0x' || x[k:k + 1] as bigint))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h from sp_bytes, sp_table),
+sp_words as (
+  select word, count(*) as n from (
+    select case when h % 31 = 0 then concat(left(w, cast(h % length(w) as int)), substr(w, cast(h % length(w) as int) + 2)) else w end as word from sp_sums)
+  where length(word) >= 7 group by word having count(*) >= 2),
+sp_holes as (
+  select word, k, concat(left(word, k - 1), substr(word, k + 1)) as rest
+  from (select word, cast(unnest(range(1, length(word) + 1)) as int) as k from sp_words)),
+sp_near as (
+  select a.word, b.word as v from sp_holes a join sp_holes b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+  union select h.word, w.word from sp_holes h join sp_words w on w.word = h.rest
+  union select w.word, h.word from sp_holes h join sp_words w on w.word = h.rest),
+sp_best as (
+  select s.word, count(*) as n_near, arg_min(s.v, (-w.n, s.v)) as v, max(w.n) as v_n from sp_near s join sp_words w on w.word = s.v group by s.word),
+sp_forms as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.v_n >= 10 * w.n then b.v end as form, case when b.v_n >= 10 * w.n then b.v_n end as form_n
+  from sp_words w left join sp_best b on b.word = w.word),
+sp_chain as (
+  select word, word as root from sp_forms
+  union all select c.word, f.form from sp_chain c join sp_forms f on f.word = c.root where f.form is not null)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from sp_forms f join sp_chain c on c.word = f.word
+join sp_forms e on e.word = c.root where e.form is null"""
+
+ORACLES = {"op1_minhash_dedup": OP1, "op3_chat_format": OP3, "op4_decontaminate": OP4, "op12_nearest": OP12, "op13_spelling": OP13}

@@ -20,9 +20,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix with source weights 3, 1, 2 takes of each document."""
-    return mixing.drawn(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("mx_size").alias("size"), F.col("mx_source_size").alias("source_size"), F.col("mx_target").alias("target"),
-        (F.col("mx_size") * F.size("mx_draws")).alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    new = mixing.names(docs)
+    return mixing.drawn(docs).select(
+        "doc_id", F.col(new["size"]).alias("size"), F.col(new["source_size"]).alias("source_size"), F.col(new["target"]).alias("target"),
+        (F.col(new["size"]) * F.size(new["draws"])).alias("taken"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
