@@ -134,14 +134,17 @@ def request_line(c: Column) -> Column:
             F.lit("\n  Target Year: "), c["target_year"].cast("string"))).otherwise(""))
 
 
-def request_json(requests: DataFrame) -> DataFrame:
-    """Figures and claims of a request as JSON text."""
-    return requests.select(
-        "document_id",
+def request_columns() -> list[Column]:
+    return [
         F.to_json("generic_sample").alias("metrics_json"),
         F.to_json(F.transform("claims", lambda c: F.struct(
             c["claim"].alias("claim"), c["page"].alias("page"), c["target_year"].alias("target_year"),
-            c["context"].alias("context"), c["evidence"].alias("evidence")))).alias("claims_json"))
+            c["context"].alias("context"), c["evidence"].alias("evidence")))).alias("claims_json")]
+
+
+def request_json(requests: DataFrame) -> DataFrame:
+    """Figures and claims of a request as JSON text."""
+    return requests.select("document_id", *request_columns())
 
 
 def resolve_audits(claims: DataFrame, responses: DataFrame) -> DataFrame:
@@ -191,7 +194,11 @@ def build_reports(page_metrics: DataFrame, selected: DataFrame, responses: DataF
                   processed_at: Column, source: str = "Sustainability Report") -> DataFrame:
     """The report table: totals, selected claims and audit, one row per document."""
     totals = scope_totals(report_metric_dedup(page_metrics))
-    with_claims = totals.join(claims_per_report(selected), "document_id", "left")
+    return report_rows(totals.join(claims_per_report(selected), "document_id", "left"), responses, processed_at, source)
+
+
+def report_rows(with_claims: DataFrame, responses: DataFrame, processed_at: Column, source: str = "Sustainability Report") -> DataFrame:
+    """Report rows from totals that carry their selected claims."""
     empty = F.array().cast(with_claims.schema["claims"].dataType)
     with_claims = with_claims.withColumn("claims", F.coalesce("claims", empty))
     audits = resolve_audits(with_claims.select("document_id", "claims"), responses)

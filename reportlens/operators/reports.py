@@ -97,6 +97,16 @@ def system_stats(reports: DataFrame, chunks: DataFrame) -> DataFrame:
         F.try_divide(F.col("total_chunks"), F.col("total_reports")), F.lit(0.0)))
 
 
+def distinct_sketches(rows: DataFrame, column: str, *keys: str, lg: int = 14) -> DataFrame:
+    """One sketch of the distinct values per key (a year, a month), to be stored; sketches of new rows are added as rows, none is recomputed."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(column, F.lit(lg)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, key: str) -> DataFrame:
+    """Estimates by `key` and over all (null), from stored sketches alone. The standard error is 1.04 / sqrt(2^lg): 0.8 % with the default."""
+    return sketches.cube(F.col(key).alias(f"of_{key}")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def _stat_rows(page_metrics: DataFrame, claims: DataFrame) -> DataFrame:
     """Pages and claims as rows of one additive shape, so that a single shuffle serves both."""
     keys = ["document_id", "company", "year"]

@@ -91,9 +91,12 @@ class _Scorer:
         self.companies = [None if r.company is None else r.company.lower() for r in block]
         self.years = [r.year for r in block]
 
-    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+    def similarities(self, batch: pa.RecordBatch) -> np.ndarray:
         flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-        sims = np.round(self.matrix @ _unit_rows(flat.reshape(batch.num_rows, self.dim).astype(np.float64)).T, SCORE_DECIMALS)
+        return np.round(self.matrix @ _unit_rows(flat.reshape(batch.num_rows, self.dim).astype(np.float64)).T, SCORE_DECIMALS)
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        sims = self.similarities(batch)
         ok = sims > self.threshold if self.strict else sims >= self.threshold
         wanted = sorted(set(self.companies) - {None})
         if wanted:
@@ -171,9 +174,9 @@ def score(chunks: DataFrame, queries: DataFrame, threshold: float = DEFAULT_THRE
         if probes is not None:
             near = [probes[r.query_id] for r in block]
             usable = usable.where(F.col("list_id").isin(sorted(set().union(*near))))
-            mask = np.zeros((len(block), max(max(n) for n in near) + 1), bool)
+            mask = np.zeros((len(block), max(set().union(*near), default=0) + 1), bool)
             for i, n in enumerate(near):
-                mask[i, list(n)] = True
+                mask[i, sorted(n)] = True
         scorer = _Scorer(block, dim, threshold, strict, k, mask)
         filters = [c for c in ("company", "year") if any(getattr(r, c) is not None for r in block)]
         return usable.select("chunk_id", *filters, *lists, "embedding").mapInArrow(lambda it: scorer(it), out)
@@ -233,14 +236,18 @@ def vector_topk_capped(chunks: DataFrame, queries: DataFrame, threshold: float =
 # ---------------------------------------------------------------- inverted lists
 
 
-def build_lists(chunks: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Assign every chunk to its nearest of `lists` centres, found by k-means over all vectors; returns (chunks with `list_id`, centres)."""
+def build_lists(chunks: DataFrame, lists: int = 100, seed: int = 7, sample: int = 1 << 17) -> tuple[DataFrame, np.ndarray]:
+    """Assign every chunk to its nearest of `lists` centres; returns (chunks with `list_id`, centres).
+
+    Centres are found by k-means over the at most `sample` vectors whose ids hash lowest.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = chunks.where(F.col("embedding").isNotNull()).withColumn(
         "_features", array_to_vector(unit(F.col("embedding")).cast("array<double>")))
-    model = KMeans(k=lists, seed=seed, featuresCol="_features", predictionCol="list_id", maxIter=10).fit(ready.select("_features"))
+    model = KMeans(k=lists, seed=seed, featuresCol="_features", predictionCol="list_id", maxIter=10).fit(
+        ready.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("_features"))
     return model.transform(ready).drop("_features"), np.array(model.clusterCenters())
 
 

@@ -18,9 +18,12 @@ from ..operators import claims as cl
 from ..operators import embed as em
 from ..operators import evaluate as ev
 from ..operators import extract as ex
+from ..operators import pivots as pv
+from ..operators import quantise as qz
 from ..operators import reports as rp
 from ..operators import search as se
-from ..session import spread, workspace
+from ..session import materialize, spread, workspace
+from ..sources import keyed as kt
 from ..sources import pages as sp
 from ..sources import store as st
 from ..sources.derived import audit_responses, derived, judgements, report_pages, table, texts, uploads
@@ -98,6 +101,42 @@ def reports_upsert(spark, d):
     return st.reports_upsert(None, o).select("company", "year", "document_id", "scope1_total")
 
 
+@query
+def reports_table(spark, d):
+    """The same upsert as a stream into a keyed table: three batches, then each of them again."""
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").cast("string").alias("company"), F.year("o_orderdate").alias("year"),
+        F.col("o_orderdate").cast("timestamp").alias("processed_at"), F.col("o_orderkey").cast("string").alias("document_id"),
+        F.col("o_totalprice").alias("scope1_total"))
+    source, at = workspace(spark, "upsert-in"), workspace(spark, "report-table")
+    reports = kt.report_table(spark, at, o.schema)
+    for part in range(3):
+        o.where(F.col("document_id").cast("long") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):  # the second run is a replay from a new checkpoint under the same writer
+        sg.stream_upsert(spark, source, reports, workspace(spark, "ck"), files_per_batch=1).awaitTermination()
+    return reports.read().select("company", "year", "document_id", "scope1_total")
+
+
+@query
+def stream_errors(spark, d):
+    """Audits whose answer could not be used, sent to the error table by a stream over the stored reports."""
+    source, at = workspace(spark, "reports-in"), workspace(spark, "errors")
+    t.reports(spark, d).write.parquet(source)
+    stream = spark.readStream.schema(t.reports(spark, d).schema).parquet(source)
+    sg.run_batches(sg.audit_errors(stream), sg.dead_letters(at, "audit", "audit"), workspace(spark, "ck")).awaitTermination()
+    return spark.read.schema("document_id string, error_type string, message string, worker string, run string").parquet(at).drop("run")
+
+
+@query
+def distinct_sketches(spark, d):
+    """Customers per year and over all years: exact counts, and whether sketches merged from those of the months agree within 4 %."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    stored = materialize(rp.distinct_sketches(o, "company", "year", "month"), "sketches")
+    exact = o.cube("year").agg(F.countDistinct("company").alias("companies"))
+    return exact.join(rp.merged_distinct(stored, "year"), F.col("year").eqNullSafe(F.col("of_year"))).select(
+        "year", "companies", (F.abs(F.col("estimate") - F.col("companies")) <= 0.04 * F.col("companies")).alias("agrees"))
+
+
 def _lines(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("source").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("_i", "content"),
@@ -407,12 +446,21 @@ def vector_topk_capped(spark, d):
 
 @query
 def vector_topk_ivf(spark, d):
-    """100 k-means lists. Vectors without clusters have neighbours in many lists, so most are read: recall is 0.94 or more (README)."""
-    path = workspace(spark, "lists")
-    indexed, centres = se.build_lists(t.vector_chunks(spark, d))
-    se.write_lists(indexed, path)
-    stored = spark.read.schema(indexed.schema).parquet(path)
-    return _hit_columns(se.vector_topk_ivf(stored, centres, t.search_queries(spark, d), nprobe=70, threshold=t.THRESHOLD))
+    """Sublinear search: product-quantised codes, and exact scores for nine chunks per question."""
+    chunks = t.vector_chunks(spark, d)
+    book = qz.fit_codebook(chunks)
+    codes = materialize(qz.encode(chunks, book), "codes")
+    return _hit_columns(qz.vector_topk_quantised(chunks, codes, book, t.search_queries(spark, d), t.THRESHOLD, rerank=9))
+
+
+@query
+def query_chunk_similarity_pruned(spark, d):
+    """All pairs over 0.35, without reading cells that a pivot rules out."""
+    chunks = t.vector_chunks(spark, d)
+    pivots = pv.choose_pivots(chunks)
+    celled = materialize(pv.assign_cells(chunks, pivots), "cells", "list_id")
+    pairs = pv.pruned_similarity(celled, pv.PivotTable.of(celled, pivots), t.search_queries(spark, d), 0.35)
+    return pairs.select("query_id", "chunk_id", r6("similarity").alias("similarity"))
 
 
 # ---------------------------------------------------------------- set operations
@@ -619,8 +667,16 @@ def confidence_band(spark, d):
 
 @query
 def json_escape_text(spark, d):
+    """Request JSON of every report, and whether it reads back as the figures and claims that went in."""
     pages = t.extracted(spark, d)
-    return au.request_json(au.audit_requests(pages, t.select_from(pages)))
+    requests = au.audit_requests(pages, t.select_from(pages))
+    made = requests.select("document_id", *au.request_columns())
+    figure = "array<struct<sample_rank:int,page:int,value:double,unit:string>>"
+    claim = "array<struct<claim:string,page:int,target_year:int>>"
+    back = F.from_json("claims_json", claim)
+    return made.select(
+        "document_id", F.size(F.from_json("metrics_json", figure)).alias("figures"), F.size(back).alias("claims"),
+        F.array_join(F.transform(back, lambda c: c["claim"]), "; ").alias("named"), F.round(F.aggregate(F.from_json("metrics_json", figure), F.lit(0.0), lambda x, m: x + m["value"]), 4).alias("total"))
 
 
 # ---------------------------------------------------------------- generators

@@ -375,6 +375,12 @@ part("lines_", """select doc_id, source as document_id, cast(generate_subscripts
 twin("chunks_upsert", """select document_id, page, content from lines_
  except select document_id, page, content from lines_ where doc_id in (select doc_id from labels)""", "lines_")
 twin("error_sink", "select document_id, 'audit_error' as error_type, error as message, 'auditor' as worker from resp where error is not null", "resp")
+twin("reports_table", TWINS["reports_upsert"])
+twin("stream_errors", """select document_id, 'audit' as error_type, case status when 'error' then 'the model service failed' when 'missing' then 'no answer'
+ when 'unparsed' then 'the answer is no JSON' else 'the answer fails validation' end as message, 'audit' as worker
+ from reports where status in ('error', 'missing', 'unparsed', 'invalid')""", "reports")
+twin("distinct_sketches", """select cast(year(o_orderdate) as integer) as year, count(distinct o_custkey) as companies, true as agrees from orders group by 1
+ union all select null, count(distinct o_custkey), true from orders""")
 twin("report_backfill", """select r.company, r.year, r.source, r.leaf_rating as truth_score, s.scope1_total, s.scope2_total from reports r join (
  select document_id, sum(scope1_sum) as scope1_total, sum(scope2_sum) as scope2_total from sums group by all) s using (document_id)""", "reports", "sums")
 
@@ -502,19 +508,9 @@ twin("compare_companies", """select request_id, cast(row_number() over (partitio
  company, year, scope1_total from requests join latest using (company)""", "requests", "latest")
 HIT = "query_id, rank, chunk_id, company, year, page, round(similarity, 6) as similarity"
 twin("vector_topk", f"select {HIT} from hits5", "hits5")
+twin("query_chunk_similarity_pruned", "select query_id, chunk_id, round(similarity, 6) as similarity from pairs where similarity > 0.35", "pairs")
 # The cap counts chunks without a vector too.
 part("capped", f"""select * from (select *, row_number() over (partition by query_id order by chunk_id) as cn from ({PAIRS})) where cn <= 100 and similarity is not null""", "vec", "ask")
-part("centres", """select label, list(m order by slot) as centre from (
-  select label, slot, avg(x) as m from (
-    select label, generate_subscripts(embedding, 1) as slot,
-     unnest(list_transform(embedding, lambda x: cast(cast(x as double) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as float))) as x from vec)
-  group by label, slot) group by label""", "vec")
-part("probed", """select * from (select query_id, label as list_id, row_number() over (partition by query_id order by round(list_cosine_similarity(
-   cast(a.embedding as double[]), c.centre), 12) desc, label) as place from ask a, centres c) where place <= 3""", "ask", "centres")
-part("listed", """select chunk_id, label as list_id from (select v.chunk_id, c.label, row_number() over (partition by v.chunk_id order by round(list_cosine_similarity(
-   cast(v.embedding as double[]), c.centre), 12) desc, c.label) as place from vec v, centres c) where place = 1""", "vec", "centres")
-part("near_pairs", "select p.* from pairs p join listed l using (chunk_id) join probed b on b.query_id = p.query_id and b.list_id = l.list_id", "pairs", "listed", "probed")
-twin("vector_topk_ivf", f"select {HIT} from ({topk(0.05, source='near_pairs')})", "near_pairs")
 twin("vector_topk_capped", f"select {HIT} from ({topk(0.05, source='capped', op='>=')})", "capped")
 
 # ---------------------------------------------------------------- set operations
@@ -631,6 +627,9 @@ twin("audit_requests", """select d.document_id, d.company, d.year, e.* exclude (
  join (select document_id, cast(count(*) as integer) as n_claims, string_agg(concat('Claim ', claim_rank, ': ''', claim, ''' (Page ', page, ')',
   case when target_year is null then '' else concat(chr(10), '  Target Year: ', target_year) end), chr(10) order by claim_rank) as claims_text from picked group by all) c using (document_id)""",
      "docs_", "entries", "samples", "picked")
+twin("json_escape_text", """select document_id, cast(coalesce(s.n, 0) as integer) as figures, c.n as claims, c.named, coalesce(s.total, 0.0) as total
+ from (select document_id, cast(count(*) as integer) as n, string_agg(claim, '; ' order by claim_rank) as named from picked group by all) c
+ left join (select document_id, count(*) as n, round(sum(value), 4) as total from samples group by all) s using (document_id)""", "samples", "picked")
 twin("rag_context", """select query_id, string_agg(concat('[Source: ', company, ' ', year, ' Report, Page ', page, ']', chr(10), content), chr(10) || chr(10) order by rank) as context
  from hits5 group by query_id""", "hits5")
 part("hits50", topk(0.5), "pairs")

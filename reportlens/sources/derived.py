@@ -108,22 +108,21 @@ select vec_id as chunk_id, concat('Company ', cast(vec_id % 7 as string)) as com
 from embeddings
 """
 
-# One question per label: the vector of the label's first row, found by an aggregate over all rows.
+# Questions are the vectors of all rows whose id is divisible by 100, against all rows.
 SEARCH_QUERIES_SQL = """
-select cast(label as bigint) as query_id, concat('Question about topic ', cast(label as string)) as question,
- case when label % 3 = 0 then {null_text} when label % 3 = 1 then 'PANY ' else 'company 3' end as company,
- case when label % 4 = 3 then cast(2018 + label as int) else cast(null as int) end as year,
- min_by(embedding, vec_id) as embedding
-from embeddings group by label
+select vec_id as query_id, concat('Question about passage ', cast(vec_id as string)) as question,
+ case when n % 3 = 0 then {null_text} when n % 3 = 1 then 'PANY ' else 'company 3' end as company,
+ case when n % 4 = 3 then cast(2018 + label as int) else cast(null as int) end as year, embedding
+from (select vec_id, label, embedding, cast(floor(vec_id / 100) as int) as n from embeddings where vec_id % 100 = 0) q
 """
 
-# Pages expected for each question; topics 4 and 9 stay unjudged.
+# Pages expected for each question; every fifth stays unjudged.
 JUDGEMENTS_SQL = """
-select cast(label as bigint) as query_id,
- case when label % 5 = 4 then 'comparative' when label % 2 = 0 then 'numeric' else 'target' end as category,
- cast(min(vec_id) % 40 + 1 as int) as first_page, cast(max(vec_id) % 40 + 1 as int) as last_page,
- label % 5 <> 4 as judged
-from embeddings group by label
+select vec_id as query_id,
+ case when n % 5 = 4 then 'comparative' when n % 2 = 0 then 'numeric' else 'target' end as category,
+ cast(vec_id % 40 + 1 as int) as first_page, cast((vec_id + label * 7) % 40 + 1 as int) as last_page,
+ n % 5 <> 4 as judged
+from (select vec_id, label, cast(floor(vec_id / 100) as int) as n from embeddings where vec_id % 100 = 0) q
 """
 
 # One timed document per user of the event stream.
