@@ -5,14 +5,20 @@ of STRING whose characters per token under a tiktoken vocabulary are at most RAT
 random ones less than 2. Known digests, UUIDs, numbers and identifiers of parts that the vocabulary knows are left out, as is what overlaps a base span.
 Places count code points, ends are exclusive.
 
-Defined cases: a null text is empty; a null id is carried along; repeated rows are scanned each; spans of an empty text are ''. Texts are scanned whole, one at a time.
+Strings of fewer than 16 characters are no candidates: the ratio of so few tokens says little.
+
+Defined cases: a null text is empty; a null id is carried along; repeated rows are scanned each; spans of an empty text are ''; spans that begin together are
+ordered by kind; other columns are not read, whatever their names; an empty table gives no rows. Texts are scanned whole, one at a time, in
+time that grows with their length.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -71,8 +77,12 @@ def identifier(string: str, encoding) -> bool:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int]]:
     out = []
+    # Base spans in order; the furthest end among those that begin up to each. Strings come in order too.
+    starts = sorted(a for a, _, _ in base)
+    reach = list(itertools.accumulate((b for _, _, b in sorted(base)), max))
     for m in STRING.finditer(text):
-        if known(m[0]) or any(a < m.end() and m.start() < b for a, _, b in base):
+        before = bisect.bisect_left(starts, m.end())
+        if known(m[0]) or before and reach[before - 1] > m.start():
             continue
         if len(m[0]) <= RATIO * len(encoding.encode_ordinary(m[0])) and not identifier(m[0], encoding):
             out.append((m.start(), 3, m.end()))
