@@ -6,13 +6,16 @@
 3. Each window gets a SimHash of 63 bits over (shingle, occurrence number) pairs, whose Jaccard similarity is the weighted one of the
    shingles. Items list, for each of 7 blocks of 9 bits, all values within 2 bits; a window within 20 bits of an item has at least one
    block within 2 bits, so looking up its 7 blocks finds every item within the radius, and most others up to FARTHEST bits.
+   Lookup rows are a few numbers each; shingles are joined to what passes the distance.
 4. Candidates are verified by the weighted similarity of their shingles (sum of minima over sum of maxima of counts).
+5. Items of fewer than five words are one run of words each and are found where a document holds that run.
 
 Simulated at the least similarity, for 9 to 400 shingles: 0.006-0.023 % of windows lie beyond the radius, fewer than 3 in a million
 are missed. This holds whatever the replaced shingles are, repeats included. Windows around have their own chances.
 
-Defined cases: null and empty texts hold no shingle; items of fewer than five words have none and match nothing; a document
-shorter than an item is one window; null ids are reported as null and told apart by text_hash; repeated rows are one; ties go to the first window.
+Defined cases: null and empty texts hold no words and match nothing; a document shorter than an item is one window; null ids are reported as null and told
+apart by text_hash; repeated rows are one; ties go to the first window; very long texts are cut into windows only where they share a shingle;
+other columns are not read, and pass through `clean` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,16 +32,19 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS, RADIUS = 7, 9, 2, 20
 FARTHEST = 24
 #: A bit in each of the three lanes of a long.
 _ONES = 1 | 1 << LANE_BITS | 1 << (2 * LANE_BITS)
-#: Rows of a lookup table that are broadcast at most (about 100 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a lookup table that are broadcast at most; each is at most five numbers, about 100 bytes in a hash table. Larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of all five-word shingles in order; what the last words, which lack followers, give is cut off."""
-    ws = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def word_hashes(text: Column, run: int = SHINGLE) -> Column:
+    """Hashes of all runs of five words in order; what the last words, which lack followers, give is cut off."""
     # The array is bound once; named in the inner function it would be made anew for each word.
-    hashes = F.transform(F.array(ws), lambda v: F.transform(v, lambda w, i: F.xxhash64(w, *(F.get(v, i + k) for k in range(1, SHINGLE)))))[0]
-    return F.transform(F.array(hashes), lambda h: F.slice(h, 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(0))))[0]
+    hashes = F.transform(F.array(_words(text)), lambda v: F.transform(v, lambda w, i: F.xxhash64(w, *(F.get(v, i + k) for k in range(1, run)))))[0]
+    return F.transform(F.array(hashes), lambda h: F.slice(h, 1, F.greatest(F.size(h) - (run - 1), F.lit(0))))[0]
 
 
 def simhash(hashes: Column) -> Column:
@@ -91,24 +97,38 @@ def common(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
-def item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shingles of items (h, the one before, n), and items by block (n, block, value, item_id, fingerprint, ihs)."""
+def item_tables(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (key, item_id, ihs); their shingles (h, the one before, n); items by block (n, block, value, key, fingerprint)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("ihs"))
     items = materialize(items, "items").where(F.size("ihs") > 0).withColumn("n", F.size("ihs"))
-    items = materialize(items.withColumn("ifp", simhash(F.col("ihs"))), "items")
+    items = materialize(items.withColumns({"ifp": simhash(F.col("ihs")), "key": F.monotonically_increasing_id()}), "items")
     grams = items.select("n", "ihs", F.posexplode("ihs").alias("at", "h")).select(
         "h", F.when(F.col("at") > 0, F.get("ihs", F.col("at") - 1)).alias("before"), "n").distinct()
-    keys = items.select("item_id", "n", "ihs", "ifp", F.explode(F.array(*(
+    keys = items.select("key", "n", "ifp", F.explode(F.array(*(
         F.struct(F.lit(b).alias("block"), _block(F.col("ifp"), b).alias("own")) for b in range(BLOCKS)))).alias("x"))
-    keys = keys.select("item_id", "n", "ihs", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(
+    keys = keys.select("key", "n", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(
         F.array(*map(F.lit, _neighbours())), lambda m: F.col("x.own").bitwiseXOR(m.cast("long")))).alias("value"))
-    return grams, keys
+    return items.select("key", "item_id", "ihs"), grams, keys
+
+
+def short_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, start, similarity: the first place of each item of one to four words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("ws")).where(F.size("ws").between(1, SHINGLE - 1))
+    items = materialize(items.select("item_id", F.size("ws").alias("run"), *(F.get("ws", F.lit(k)).alias(f"w{k}") for k in range(SHINGLE - 1))), "short-items")
+    found = None
+    for run in sorted(r.run for r in items.select("run").distinct().collect()):  # four numbers at most
+        own = items.where(F.col("run") == run).select("item_id", F.xxhash64(*(F.col(f"w{k}") for k in range(run))).alias("h")).distinct()
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
+        runs = text.select("doc_id", F.xxhash64("t").alias("text_hash"), F.posexplode(word_hashes(F.col("t"), run)).alias("start", "h"))
+        hits = runs.join(lookup(own), "h").groupBy("doc_id", "text_hash", "item_id").agg(F.min("start").alias("start"), F.lit(1.0).alias("similarity"))
+        found = hits if found is None else found.union(hits)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, text_hash, item_id, start (word of the best window), similarity; one row per document and item."""
     num, den = share
-    grams, keys = item_tables(benchmark)
+    items, grams, keys = item_tables(benchmark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     rows = text.select("doc_id", F.xxhash64("t").alias("text_hash"), word_hashes(F.col("t")).alias("hs"))
     met = rows.select("doc_id", "text_hash", "hs", F.posexplode("hs").alias("pos", "h")).join(lookup(grams), "h")
@@ -131,10 +151,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] =
         close = F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("ifp"), b))) <= BLOCK_RADIUS
         first &= (F.col("block") <= b) | ~close
     near = near.where(first & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= FARTHEST))
-    both = near.select("doc_id", "text_hash", "item_id", "start", common(F.col("whs"), F.col("ihs")).alias("c"), (F.size("whs") + F.size("ihs")).alias("total"))
+    met = near.select("doc_id", "text_hash", "start", "whs", "key").join(items, "key")
+    both = met.select("doc_id", "text_hash", "item_id", "start", common(F.col("whs"), F.col("ihs")).alias("c"), (F.size("whs") + F.size("ihs")).alias("total"))
     hits = both.where(den * F.col("c") >= num * (F.col("total") - F.col("c"))).withColumn("similarity", F.col("c") / (F.col("total") - F.col("c")))
     best = F.max_by(F.struct("start", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
-    return hits.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.start", "best.similarity")
+    out = hits.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.start", "best.similarity")
+    short = short_items(docs, benchmark)
+    return out if short is None else out.union(short).groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.start", "best.similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:

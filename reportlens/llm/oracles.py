@@ -60,9 +60,14 @@ lk_sums as (
   select doc_id, item_id, start, n, m, sum(least(k.c, o.c)) as c from lk_counts k join lk_own o using (item_id, n, g) group by all),
 lk_hits as (
   select doc_id, item_id, start - 1 as start, c / (n + least(n, m) - c) as similarity from lk_sums where 100 * c >= 80 * (n + least(n, m) - c)),
+lk_short as (
+  select item_id, ws from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as ws from {benchmark}) where len(ws) between 1 and 4),
+lk_all as (
+  select doc_id, item_id, start, similarity from lk_hits
+  union all select doc_id, item_id, p - 1, 1.0 from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from lk_words) d join lk_short s on d.ws[p:p + len(s.ws) - 1] = s.ws),
 leaks as (
   select doc_id, item_id, start, similarity from (
-    select *, row_number() over (partition by doc_id, item_id order by similarity desc, start) as k from lk_hits) where k = 1)"""
+    select *, row_number() over (partition by doc_id, item_id order by similarity desc, start) as k from lk_all) where k = 1)"""
 
 
 OP4 = f"""
