@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +87,63 @@ def hrefs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_replace(html, UNSEEN, ""), F.lit(HREF), F.lit(1)), decoded)
 
 
+#: The five parts of a URI reference: scheme, authority, path, query, fragment.
+URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Schemes whose references resolve against a path; against others, and to other schemes, a link stays as it is.
+HIERARCHICAL = ["", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss"]
+#: Those of them in which a `;` of the last segment begins parameters.
+WITH_PARAMETERS = ["", "ftp", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu", "mms", "sftp"]
+PARAMETERS = r"(;[^/]*)$"
+
+
+def _walked(base_path: Column, path: Column) -> Column:
+    """The path of a link seen from a page: `.` and `..` segments are taken in turn, `..` above the root stays there."""
+    folder = let(F.split(base_path, "/"), lambda p: F.when(F.element_at(p, -1) == "", p).otherwise(F.slice(p, 1, F.size(p) - 1)))
+    both = let(F.concat(folder, F.split(path, "/")), lambda p: F.filter(p, lambda x, i: (i == 0) | (i == F.size(p) - 1) | (x != "")))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p))
+
+    def walk(parts: Column) -> Column:
+        steps = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(steps, F.lit(""))).otherwise(steps), "/")
+    return let(F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(both), lambda p: let(walk(p), lambda x: F.when(x == "", "/").otherwise(x)))
+
+
 def absolute_url(base: str, link: str) -> Column:
-    @F.pandas_udf("string")
-    def join(bases: pd.Series, links: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(b, l) for b, l in zip(bases, links)])
-    return join(base, link)
+    """A link resolved against the address of its page, as an expression; a null or empty one of the two gives the other."""
+    def plain(c: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+    def parts(x: Column) -> Column:
+        return F.struct(*(F.regexp_extract(x, URI, k).alias(n) for k, n in enumerate(("scheme", "authority", "path", "query", "fragment"), 1)))
+
+    def resolved(b: Column, r: Column) -> Column:
+        scheme, given = F.lower(b["scheme"]), F.lower(r["scheme"])
+        foreign = ((given != "") & (given != scheme)) | ~scheme.isin(HIERARCHICAL)
+        # What follows `;` in the last segment is carried along and does not take part in the walk.
+        parted = scheme.isin(WITH_PARAMETERS)
+        parameters = F.when(parted, F.regexp_replace(F.regexp_extract(r["path"], PARAMETERS, 1), "^;$", "")).otherwise("")
+        bare = F.when(parted, F.regexp_replace(r["path"], PARAMETERS, "")).otherwise(r["path"])
+        own, same = r["authority"] != "", (bare == "") & (parameters == "")
+        page = F.when(parted, F.regexp_replace(b["path"], r"^((?:.*/)?[^/;]*);$", "$1")).otherwise(b["path"])
+        path = F.when(own, F.concat(bare, parameters)).when(same, page).otherwise(
+            F.concat(_walked(F.when(parted, F.regexp_replace(page, PARAMETERS, "")).otherwise(page), bare), parameters))
+        query = F.when(~own & same & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        authority = F.when(own, r["authority"]).otherwise(b["authority"])
+
+        def written(p: Column) -> Column:
+            rooted = F.startswith(p, F.lit("/"))
+            return (
+                F.when(authority != "", F.concat(F.lit("//"), authority, F.when((p != "") & ~rooted, "/").otherwise(""), p))
+                .when(F.startswith(p, F.lit("//")) | (scheme != "") & ((p == "") | rooted), F.concat(F.lit("//"), p)).otherwise(p))
+        whole = F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), let(path, written), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+            F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""))
+        return F.when(foreign, F.col(link)).otherwise(whole)
+
+    joined = let(parts(plain(base)), lambda b: let(parts(plain(link)), lambda r: resolved(b, r)))
+    return F.when(F.coalesce(F.col(base), F.lit("")) == "", F.col(link)).when(F.coalesce(F.col(link), F.lit("")) == "", F.col(base)).otherwise(joined)
 
 
 def link_extract(pages: DataFrame, extension: str = ".pdf") -> DataFrame:
