@@ -7,12 +7,14 @@ Leaves are grouped into classes: P(leaf) = P(class | history) P(member | class,
 previous word), a skip feature (leaf of the one before) and the hashed pair of both words; each feature is a row of weights.
 
 Training: in each round the tasks take gradient steps (row-wise AdaGrad) on their shares of the documents, from the same weights;
-changes are averaged row by row, weighted by how often each task used the row. Every training document is used in one round.
+changes are averaged row by row, weighted by how often each task used the row. Every training document is used in one round. There are as many partial
+models as slots in the cluster, so what a round shuffles does not grow with the input.
 Weights have a fixed size (4.5 MB), as has the table of the HEAD most frequent words that is broadcast; counts of all other words meet their
 documents in a shuffled join, so the vocabulary may grow without bound, and no such word is frequent enough to be a hot key.
 
 Defined cases: null and empty texts are one end token; a null id is never held out; repeated rows are scored each and each count in training; without training rows all probabilities are those of
-an untrained model; a very long text is one row, handled in steps.
+an untrained model; a very long text is one row, handled in steps; words of equal counts are ordered by their hashes; other columns are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -217,7 +219,9 @@ def gradient_round(part: DataFrame, vocabulary, weights: np.ndarray, squares: np
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(used[at]), pa.array(grown.astype(np.float32)), *(pa.array(c.astype(np.float32)) for c in change.T)],
                                          ["row", "n", "q", *names])
 
-    steps = part.select("text").mapInArrow(run, "row int, n long, q float, " + ", ".join(f"{c} float" for c in names))
+    # One partial model for each slot of the cluster, whatever the size of the input: a task reads several splits in turn.
+    slots = part.select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    steps = slots.mapInArrow(run, "row int, n long, q float, " + ", ".join(f"{c} float" for c in names))
     total = steps.groupBy("row").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), *(F.sum(c).alias(c) for c in names)).toArrow()
     start.unpersist()
     at, n = total.column("row").to_numpy(), total.column("n").to_numpy()
