@@ -21,7 +21,7 @@ from ..operators.search import other_dimension
 from ..session import materialize
 from ..sources.pages import page_source, upload_intake
 from ..sources.keyed import KeyedTable
-from ..sources.store import chunks_upsert, error_sink
+from ..sources.store import chunks_upsert, error_sink, stored_before
 from ..taxonomy import METRIC_KINDS
 from .state import document_states, keyed_state
 
@@ -102,15 +102,49 @@ def put_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, path: str, schema, before: int | None = None, with_batch: bool = False) -> DataFrame:
-    """All batches, or those before one, so that a replayed batch does not see its own output."""
+    """All batches, or those before one, so that a replayed batch does not see its own output; folded ones come from the base."""
     fields = schema if isinstance(schema, str) else ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    upto = folded_upto(spark, path)
     rows = spark.read.schema(fields + ", batch int").option("basePath", path).parquet(path)
+    if upto >= 0:
+        rows = rows.where(F.col("batch") > upto).unionByName(spark.read.schema(fields + ", batch int").parquet(f"{path}-base/data/v={upto}"))
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     return rows if with_batch else rows.drop("batch")
 
 
+def folded_upto(spark: SparkSession, path: str) -> int:
+    """The last batch in the base; -1 if there is none."""
+    done = f"{path}-base/done"
+    newest = spark.read.schema("v int").option("basePath", done).json(done).agg(F.max("v")).first()[0] if stored_before(spark, done) else None
+    return -1 if newest is None else newest
+
+
+def fold_batches(spark: SparkSession, path: str, schema, upto: int) -> None:
+    """Batches up to `upto` become a base of large files. Readers take the old folders until the marker is there, then the base and newer folders.
+
+    A folded batch that is replayed rewrites a folder that nobody reads any more. The schema must name all columns that are to be kept.
+    """
+    rows = read_batches(spark, path, schema, before=upto + 1, with_batch=True)
+    rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}-base/data/v={upto}")
+    spark.createDataFrame([(upto,)], "upto int").coalesce(1).write.mode("overwrite").json(f"{path}-base/done/v={upto}")
+
+
+def drop_folded(spark: SparkSession, path: str) -> int:
+    """Deletes folders that the base holds, and older bases; for times when no reader is on them. Returns how many."""
+    upto, hadoop, gone = folded_upto(spark, path), spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    for top, pattern in ((path, "batch=*"), (f"{path}-base/data", "v=*"), (f"{path}-base/done", "v=*")):
+        root = hadoop(top)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.globStatus(hadoop(root, pattern)) or []:
+            n = int(found.getPath().getName().split("=")[1])
+            if n < upto or n == upto and top == path:
+                fs.delete(found.getPath(), True)
+                gone += 1
+    return gone
+
+
 def stream_audit(spark: SparkSession, extracted_path: str, responses: DataFrame, out_path: str, checkpoint: str,
                  extracted_schema, files_per_batch: int | None = None, errors_path: str | None = None) -> StreamingQuery:
     """Extracted pages -> top claims, totals, audit -> report rows; answers that cannot be used also go to the error table.

@@ -195,6 +195,29 @@ def test_lookups_pass_over_row_groups(spark, tmp_path):
     assert table.lookup("page", [5]).count() == 1
 
 
+def test_folded_batches_read_the_same(spark, tmp_path):
+    path, schema = str(tmp_path / "out"), "id string, n int"
+    for b in range(6):
+        sg.put_batch(spark.createDataFrame([(f"x{b}", b), ("y", b)], schema), path, b)
+
+    def seen(**more):
+        return rows(sg.read_batches(spark, path, schema, with_batch=True, **more))
+    want, early = seen(), seen(before=3)
+    # A fold that ends before its marker changes nothing.
+    sg.read_batches(spark, path, schema, 2, True).write.parquet(f"{path}-base/data/v=9")
+    assert seen() == want
+    for upto in (1, 3, 5):
+        sg.fold_batches(spark, path, schema, upto)
+        assert sg.folded_upto(spark, path) == upto and seen() == want and seen(before=3) == early
+        if upto == 3:
+            assert sg.drop_folded(spark, path) > 0 and seen() == want and seen(before=3) == early
+            sg.put_batch(spark.createDataFrame([("x2", 2), ("y", 2)], schema), path, 2)  # a replay of a folded batch
+            assert seen() == want
+    sg.put_batch(spark.createDataFrame([("z", 6)], schema), path, 6)
+    assert len(seen()) == len(want) + 1
+    assert sg.drop_folded(spark, path) > 0 and len(seen()) == len(want) + 1
+
+
 # ---------------------------------------------------------------- requests and sketches
 
 
