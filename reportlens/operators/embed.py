@@ -1,4 +1,8 @@
-"""Text -> vector. A model is a pluggable batch function; the default, hashed words, is made of built-in functions."""
+"""Text -> vector. A model is a pluggable batch function; the default is hashed words.
+
+Chunks go through Arrow batches, where a word is hashed once for a whole task: four times cheaper than any form of it made of built-in functions that was
+measured (5 against 19 CPU seconds for 20,000 texts of 300 words). Questions, which are short, use the expression.
+"""
 
 from __future__ import annotations
 
@@ -51,29 +55,41 @@ def hashed_words(dim: int = DEFAULT_DIM) -> Callable[[], Encoder]:
     return load
 
 
+HEX = "0123456789abcdef"
+
+
 def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """`hashed_words` as an expression: words to slots, counts of slots as what removing each takes away, scaled to length one."""
+    """`hashed_words` as an expression: each word becomes one character for its slot, counts are what removing a character takes away from the text of
+    all of them, scaled to length one."""
+    if 2 * dim > 0xD800:
+        raise ValueError("slots must be characters of one UTF-16 unit")
+
+    def digit(m: Column, at: int) -> Column:
+        return F.instr(F.lit(HEX), F.substring(m, at, 1)) - 1
+
     def slot(word: Column) -> Column:
-        return let(F.md5(word), lambda m: F.conv(F.substring(m, 1, 8), 16, 10).cast("long") % dim
-                   + F.when(F.substring(m, 9, 1) < "8", F.lit(0)).otherwise(F.lit(dim)))
+        # The first eight digits modulo a divisor of 256 are the last two of them.
+        first = (lambda m: digit(m, 7) * 16 + digit(m, 8)) if 256 % dim == 0 else (lambda m: F.conv(F.substring(m, 1, 8), 16, 10).cast("long"))
+        return let(F.md5(word), lambda m: (first(m) % dim).cast("int") + F.when(F.substring(m, 9, 1) < "8", F.lit(0)).otherwise(F.lit(dim)))
+
+    marks = [chr(k) for k in range(2 * dim)]
+    lookup = F.array(*map(F.lit, marks))
 
     def counts(slots: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda s: F.size(
-            F.array_remove(slots, s + dim)) - F.size(F.array_remove(slots, s)))
+        n = F.length(slots)
+        left = [n - F.length(F.replace(slots, F.lit(c), F.lit(""))) for c in marks]
+        return F.array(*(left[k] - left[k + dim] for k in range(dim)))
 
     def scaled(counts: Column) -> Column:
         length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
         return let(length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return let(let(F.transform(words, slot), counts), scaled)
-
+    return let(let(F.array_join(F.transform(words, lambda w: F.get(lookup, slot(w))), ""), counts), scaled)
 
-def embedding(text: Column, load: Callable[[], Encoder] | None = None) -> Column:
-    """Vector of a text; a given `load` runs once per Python worker task, batches come through Arrow."""
-    if load is None:
-        return hashed_vector(text)
 
+def embedding(text: Column, load: Callable[[], Encoder]) -> Column:
+    """Vector of a text; `load` runs once per Python worker task, batches come through Arrow."""
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -83,8 +99,8 @@ def embedding(text: Column, load: Callable[[], Encoder] | None = None) -> Column
 
 
 def embed_chunks(chunks: DataFrame, load: Callable[[], Encoder] | None = None) -> DataFrame:
-    return chunks.withColumn("embedding", embedding(F.col("content"), load))
+    return chunks.withColumn("embedding", embedding(F.col("content"), load or hashed_words()))
 
 
 def embed_queries(queries: DataFrame, load: Callable[[], Encoder] | None = None) -> DataFrame:
-    return queries.withColumn("embedding", embedding(F.col("question"), load))
+    return queries.withColumn("embedding", embedding(F.col("question"), load) if load else hashed_vector(F.col("question")))

@@ -14,7 +14,7 @@ from ..operators.claims import claim_metrics_choice, detect_claims, score_claims
 from ..operators.extract import page_metrics
 from ..operators.search import vector_topk
 from ..session import materialize
-from ..sources.derived import audit_responses, derived, judgements, report_pages, table
+from ..sources.derived import SOURCES, audit_responses, derived, judgements, report_pages, table
 
 TIMES = "to_timestamp(concat(year, '-06-01 00:00:00'))"
 THRESHOLD = 0.05
@@ -58,12 +58,19 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make, *partitions: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _written(spark, sf_dir))
     if key not in _stored:
         _stored[key] = materialize(make(), name, *partitions)
     return _stored[key]
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the given tables were written: a folder that is rewritten within a session is another one."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = [hadoop(f"{sf_dir.rstrip('/')}/{s}.parquet") for s in SOURCES]
+    return tuple(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in at)
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "vector_chunks")
 

@@ -292,13 +292,16 @@ def test_no_collect_in_operators():
             continue
         text = f.read_text()
         assert ".toPandas(" not in text and "localCheckpoint" not in text, f
-        # The only rows that operators collect are the 65 bounds of the median.
+        # Rows that operators collect are bounded: samples of vectors, the pivot table, the manifest.
         assert text.count(".collect(") == {"keyed.py": 3, "pivots.py": 2, "quantise.py": 1}.get(f.name, 0), f
 
 
-def test_default_encoder_is_native_and_equal_to_the_model(spark, sf):
+def test_expression_and_model_give_the_same_vectors(spark, sf):
     from reportlens.operators import embed as em
     docs = table(spark, sf, "documents").select(F.col("text").alias("content")).union(spark.createDataFrame([(None,), ("",), ("É !",)], "content string"))
-    native = em.embed_chunks(docs)
-    assert "Python" not in plan(native) and "Arrow" not in plan(native)
-    assert sorted(map(str, native.collect())) == sorted(map(str, em.embed_chunks(docs, em.hashed_words()).collect()))
+    for dim in (64, 10):
+        native = docs.withColumn("embedding", em.hashed_vector(F.col("content"), dim))
+        assert "Python" not in plan(native) and "Arrow" not in plan(native)
+        assert sorted(map(str, native.collect())) == sorted(map(str, em.embed_chunks(docs, em.hashed_words(dim)).collect()))
+    asked = em.embed_queries(docs.withColumnRenamed("content", "question"))
+    assert "Python" not in plan(asked) and sorted(map(str, asked.collect())) == sorted(map(str, em.embed_chunks(docs).withColumnRenamed("content", "question").collect()))
