@@ -1,7 +1,8 @@
 """Statistics of whole documents, counted in numpy over Arrow batches; shared by the quality operators.
 
 Null texts count as empty; all shares of an empty text are 0. Letter case is kept: equal lines and equal
-windows are equal as written.
+windows are equal as written. Very long texts are measured whole, a piece each; repeated rows are measured each; nothing here depends on the order of rows, so
+there are no ties; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,7 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     rows = measured(some.select("doc_id", "text"), {"x": "array<double>"}, lambda _, x: [pa.array(list(x), pa.list_(pa.float64()))])
-    labelled = rows.dropDuplicates().join(F.broadcast(chosen), "doc_id").limit(2 * bound).toArrow()
+    # An id with several texts gives the least of its rows, so there are no more rows than labels.
+    labelled = rows.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "doc_id").toArrow()
     x = labelled.column("x").combine_chunks()
     y = labelled.column("y").to_numpy().astype(np.float64)
     x = np.asarray(x.values if not isinstance(x, pa.ChunkedArray) else pa.concat_arrays(x.chunks).values).reshape(len(y), len(FEATURES))

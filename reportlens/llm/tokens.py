@@ -11,7 +11,8 @@ per document the number of symbols and of ids (uint32 each); width 2 or 4 of a s
 Blocks are rows of a Parquet table, so Spark's commit protocol covers lost tasks: (shard, block, payload).
 
 Defined cases: a null text is empty and yields the end id alone; null ids sort first; rows that repeat an id are
-ordered by a hash of the text, then the text; other columns are not read.
+ordered by a hash of the text, then the text; a very long text is one document of its block, however large; pairs of equal frequency are taken by their
+ids; other columns are not read, whatever their names; an empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations

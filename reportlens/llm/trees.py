@@ -5,7 +5,8 @@ better for more repeated lines, repeated windows or symbols. The trees are flatt
 for all rows of a batch at once.
 
 Defined cases: null and empty texts have no words, so the base rule fails them; a null id is treated like any other; repeated
-rows are judged each; without labelled rows the verdict of the trees is to keep.
+rows are judged each; very long texts are measured whole; of splits of equal gain the first feature and place win, and a value equal to a split goes left;
+other columns are not read, whatever their names; an empty table gives no rows; without labelled rows the verdict of the trees is to keep.
 """
 
 from __future__ import annotations

@@ -69,3 +69,10 @@ def test_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     assert got == set(con.execute(sql).fetchall())
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 1), (1, "a b", 8, 2), (2, "a b c d e f", 9, 3), (None, "a b c d e f", 1, 4)], "doc_id long, text string, nd_turn int, ND_turn_ int")
+    got = minhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.nd_turn) for r in got.collect()) == [(0, "a b c d e f", 1), (1, "a b", 8)]

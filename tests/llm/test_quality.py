@@ -80,6 +80,54 @@ def test_monotone_and_flat():
     assert np.mean((trees.fit(x, y, np.zeros(3)).score(x) > 0.5) == y) > 0.85
 
 
+def test_scores_are_table_sums_row_by_row():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((900, 4)), 2)  # many values stand on a cut
+    y = ((x[:, 0] > 0.4) ^ (x[:, 2] > 0.6)).astype(float)
+    model = gam.fit(x, y, rounds=40)
+    assert model.pairs
+    for row, score in zip(x.tolist(), model.score(x).tolist(), strict=True):
+        place = [sum(e < v for e in edges.tolist()) for v, edges in zip(row, model.edges, strict=True)]
+        z = model.bias + sum(t[p] for t, p in zip(model.tables, place, strict=True)) + sum(g[place[i], place[j]] for (i, j), g in zip(model.pairs, model.grids, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_flat_trees_are_walked_like_trees():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.random((700, 3)), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    forest = trees.fit(x, y, np.array([1, 0, 0]))
+
+    def value(node, row):
+        if forest.left[node] == node:
+            return forest.value[node]
+        return value(forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node], row)
+    for row, score in zip(x, forest.score(x).tolist(), strict=True):
+        z = forest.bias + sum(value(r, row) for r in forest.root.tolist())
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_accepted_keeps_rows_and_columns(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = gam.train(docs, labels)
+    odd = spark.createDataFrame([(None, None), (10**9, ""), (10**9, ""), (10**9 + 1, "word " * 200000)], "doc_id long, text string")
+    data = docs.select("doc_id", "text").union(odd).selectExpr("doc_id", "text", "1 as score", "'x' as quality", "array(2) as batch")
+    good = {(r.doc_id, r.text) for r, s in zip(data.collect(), gam.scores(data, model).collect(), strict=True) if s.score >= 0.5}
+    kept = gam.accepted(data, model)
+    assert kept.columns == data.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r.doc_id, r.text) for r in data.collect() if (r.doc_id, r.text) in good)
+    assert gam.accepted(data.limit(0), model).count() == 0
+
+
+def test_ids_with_several_texts_train_once(spark):
+    rows = [(k % 40, f"{'word ' * (k % 7 + 1)}{k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    first = docstats.training_rows(docs, labels, "quality", 1000)
+    again = docstats.training_rows(docs.repartition(7), labels, "quality", 1000)
+    assert len(first[1]) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(40)) and all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
 def test_pairs_matter():
     rng = np.random.default_rng(4)
     x = rng.random((1500, 3))
