@@ -36,8 +36,8 @@ MAGIC = b"RPB1"
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Pairs rarer than this in a block are left alone; a rule costs 12 bytes.
 MIN_PAIRS = 24
-#: Segments whose ids a worker remembers, and new ones that are encoded in one string.
-REMEMBERED, TOGETHER = 1_000_000, 256
+#: Segments whose ids a worker remembers in each of two generations, and new ones that are encoded in one string.
+REMEMBERED, TOGETHER = 500_000, 256
 _AFTER, _BEFORE = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
 
 
@@ -47,7 +47,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     opens = np.array([str(tokenizer.id_to_token(k)).startswith("\u0120") for k in range(tokenizer.get_vocab_size())])
-    return tokenizer, opens, {}, {}
+    return tokenizer, opens, {}, {}, {}
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
@@ -56,29 +56,50 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     The byte-level pattern never joins what stands before a single space with what follows it, so a text is cut there
     and the ids of each segment are remembered. Texts with other runs of white space are encoded whole.
     """
-    tokenizer, opens, opening, spaced = _tokenizer(path)
-    cut = [[text] if text[:1] == " " or _AFTER.search(text) or _BEFORE.search(text) else text.split(" ") for text in texts]
+    tokenizer, opens, opening, spaced, older = _tokenizer(path)
     if len(opening) + len(spaced) > REMEMBERED:
+        # What was asked for since the last turn stays; what was not goes with the turn after.
+        older.clear()
+        older.update(spaced)
         opening.clear()
         spaced.clear()
-    fresh = list({p[0] for p in cut} - opening.keys())
+    known, before, cut = spaced.get, older.get, []
+    unknown: set[str] = set()
+    for text in texts:
+        if text[:1] == " " or _AFTER.search(text) or _BEFORE.search(text):
+            cut.append((text, [], []))
+            continue
+        rest = text.split(" ")
+        first = rest[0]
+        found = list(map(known, rest))
+        found[0] = b""
+        gaps = [k for k, raw in enumerate(found) if raw is None]
+        for k in gaps:
+            raw = before(rest[k])
+            if raw is None:
+                unknown.add(rest[k])
+            else:
+                spaced[rest[k]] = raw
+        cut.append((first, [(k, rest[k]) for k in gaps], found))
+    fresh = list({first for first, _, _ in cut} - opening.keys())
     for x, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
         opening[x] = np.array(e.ids, np.uint32).tobytes()
-    unknown: set[str] = set()
-    for p in cut:
-        unknown.update(p[1:])
-    fresh = list(unknown - spaced.keys())
+    fresh = list(unknown)
     runs = [fresh[k: k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
     for run, e in zip(runs, tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, np.uint32)
         begin = np.flatnonzero(opens[ids])  # the token that holds a segment's leading space
         if len(begin) != len(run):
             raise ValueError("a token other than a segment's first begins with a space")
-        raw = ids.tobytes()
-        for x, i, j in zip(run, begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
-            spaced[x] = raw[4 * i: 4 * j]
-    get = spaced.__getitem__
-    return [np.frombuffer(opening[p[0]] + b"".join(map(get, p[1:])), np.uint32) for p in cut]
+        raw, at = ids.tobytes(), (4 * begin).tolist()
+        at.append(len(raw))
+        spaced.update(zip(run, [raw[i:j] for i, j in zip(at, at[1:])], strict=True))  # noqa: B905
+    out = []
+    for first, gaps, found in cut:
+        for k, x in gaps:
+            found[k] = spaced[x]
+        out.append(np.frombuffer(opening[first] + b"".join(found), np.uint32))
+    return out
 
 
 def pack(docs: list[np.ndarray], min_pairs: int = MIN_PAIRS) -> bytes:
