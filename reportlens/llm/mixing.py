@@ -3,9 +3,9 @@
 1. Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and share `factor` of all words; a target stops at `limit`
    times its source's size and the excess goes to the others by weight. The level at which this settles has a closed form.
 2. Each source's documents fall into a fixed number of blocks by a hash of their id; each pass over a source takes its blocks in another
-   permuted order. The quota of a source is the whole blocks that its target holds, pass by pass; blocks that do not fit are left out.
-3. What is still open is filled from copies that are left, in rounds: of the copies no larger than the room, a run of sub-blocks in order,
-   then of the FILL next ones the choice whose sum is nearest. Rounds end when a source has no such copy or misses less than one part in
+   permuted order. The quota of a source is the whole blocks that its target holds, pass by pass; blocks that do not fit are left out, and the last BACK are given back.
+3. What is still open is filled from copies that are left, in rounds: of the copies no larger than the room, a run of sub-blocks in order
+   if there are more than FILL, then of the FILL next ones the choice whose sum is nearest. Rounds end when a source has no such copy or misses less than one part in
    2,000. At last the smallest copy left goes in if that is nearer. So a target is missed by one part in 2,000, or by
    at most half the smallest document that could still be taken.
 4. A splitting tree deals the quotas to output shards: at each node the blocks of each source that go left are one multivariate
@@ -39,6 +39,8 @@ BLOCKS, SUB_BLOCKS, SHARDS = 64, 1024, 32
 PARTS = 4096
 #: Copies after the run of sub-blocks that compete for what is left of a target; those of them whose sums are all tried; the share of a target that may be missed.
 FILL, TRIED, MISS = 1024, 64, 0.0005
+#: Blocks that are given back to the fill.
+BACK = 8
 #: Words up to which all sums are tried.
 SUMS = 1 << 22
 
@@ -113,14 +115,22 @@ class Quota:
 
 
 def quota(totals: np.ndarray, target: float, seed: int, source: int, limit: int = 2) -> Quota:
+    """Whole blocks that fit, pass by pass, but for the last BACK of them: their copies are left to the fill, which finds sums that whole blocks cannot."""
     out, left, room = [], [[] for _ in totals], float(target)
     for turn in range(limit):
         for block in permuted(seed, source, turn, len(totals)).tolist():
+            if not totals[block]:
+                continue
             if totals[block] <= room:
                 out.append((turn, block))
                 room -= float(totals[block])
             else:
                 left[block].append(turn)
+    if any(left):
+        for turn, block in out[-BACK:]:
+            left[block] = sorted([*left[block], turn])
+            room += float(totals[block])
+        out = out[:-BACK]
     return Quota(out, left, room)
 
 
@@ -216,9 +226,12 @@ def filled(light: DataFrame, quotas: list[Quota], keys: list[tuple[bool, str]],
         each = materialize(copies(False).select("source", "rank", "turn", "size", "place", "room"), "mix-copies")
         upto = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         # A source has at most as many places as blocks, sub-blocks and passes.
-        run = each.groupBy("source", "place", "room").agg(F.sum("size").alias("n")).withColumn("through", F.sum("n").over(upto)).groupBy("source").agg(
-            F.max(F.when(F.col("through") <= F.col("room"), F.col("place"))).alias("last"),
-            F.max(F.when(F.col("through") <= F.col("room"), F.col("through"))).alias("used"))
+        whole = Window.partitionBy("source")
+        places = each.groupBy("source", "place", "room").agg(F.sum("size").alias("n"), F.count("*").alias("c")).withColumns(
+            {"through": F.sum("n").over(upto), "copies": F.sum("c").over(whole)})
+        # No more copies than can compete: all of them do.
+        fits = (F.col("through") <= F.col("room")) & (F.col("copies") > FILL)
+        run = places.groupBy("source").agg(F.max(F.when(fits, F.col("place"))).alias("last"), F.max(F.when(fits, F.col("through"))).alias("used"))
         found = run.collect()  # a row per source
         if not found:
             break
