@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,14 @@ MAGIC = b"RPB1"
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Pairs rarer than this in a block are left alone; a rule costs 12 bytes.
 MIN_PAIRS = 24
-#: Segments whose ids a worker remembers, and new ones that are encoded in one string.
-REMEMBERED, TOGETHER = 1_000_000, 256
+#: Pieces whose ids a worker remembers, new ones that are encoded in one string, and texts that are cut at once.
+REMEMBERED, TOGETHER, TEXTS = 1_000_000, 256, 2048
 _AFTER, _BEFORE = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
+#: Letters and marks between which the pattern always ends a token, and characters that are no white space.
+_LETTER, _MARK, _INK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?#&%", "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: What keeps a piece from being encoded in one string with others: white space and special strings.
+_apart = re.compile(r"\s|<\|")
+_CUTS = ((f"([{_LETTER}])([{_MARK}])", "\\1\0\\2"), (f"([{_INK}])\n([{_INK}])", "\\1\0\n\0\\2"))
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,38 +53,114 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     opens = np.array([str(tokenizer.id_to_token(k)).startswith("\u0120") for k in range(tokenizer.get_vocab_size())])
-    return tokenizer, opens, {}, {}
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+    # A special string that holds a cut would be torn.
+    whole = len(line) != 1 or any(re.search(p, x.content) for x in tokenizer.get_added_tokens_decoder().values() for p, _ in _CUTS)
+    return tokenizer, opens, None if whole else line[0], {}, {}
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each entry, end to end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _pieces(segments: pa.Array, whole: bool) -> tuple[np.ndarray, pa.Array]:
+    """Segments cut where a token always ends: between a letter and a mark, and around a single line feed. Where the pieces of each begin, and the pieces."""
+    if whole:
+        return np.arange(len(segments) + 1), segments
+    cut = segments
+    for pattern, by in _CUTS:
+        cut = pc.replace_substring_regex(cut, pattern, by)
+    # What holds the separator itself stays whole: it is swapped for an empty string and put back.
+    odd = pc.match_substring(segments, "\0")
+    lists = pc.split_pattern(pc.if_else(odd, pa.scalar("", segments.type), cut), "\0")
+    begin, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
+    if pc.any(odd).as_py():
+        at = np.zeros(len(flat), bool)
+        at[begin[:-1][odd.to_numpy(zero_copy_only=False)]] = True
+        flat = pc.replace_with_mask(flat, pa.array(at), segments.filter(odd))
+    return begin, flat
+
+
+def _known(pieces: pa.Array, remembered: dict[str, bytes], encode_new) -> tuple[np.ndarray, list[bytes]]:
+    """For each piece its place among the distinct ones, and the ids of those as bytes."""
+    distinct = pieces.dictionary_encode()
+    words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+    fresh = [x for x in words if x not in remembered]
+    if fresh:
+        remembered.update(zip(fresh, encode_new(fresh), strict=True))
+    return distinct.indices.to_numpy().astype(np.int64), list(map(remembered.__getitem__, words))
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of each text.
 
-    The byte-level pattern never joins what stands before a single space with what follows it, so a text is cut there
-    and the ids of each segment are remembered. Texts with other runs of white space are encoded whole.
+    The byte-level pattern never joins what stands before a single space with what follows it, so a text is cut there, its distinct segments
+    are cut once more (`_pieces`), and the ids of each piece are remembered. Texts with other runs of white space are encoded whole.
     """
-    tokenizer, opens, opening, spaced = _tokenizer(path)
-    cut = [[text] if text[:1] == " " or _AFTER.search(text) or _BEFORE.search(text) else text.split(" ") for text in texts]
-    if len(opening) + len(spaced) > REMEMBERED:
-        opening.clear()
+    if not texts:
+        return []
+    tokenizer, opens, line, bare, spaced = _tokenizer(path)
+    if len(bare) + len(spaced) > REMEMBERED:
+        bare.clear()
         spaced.clear()
-    fresh = list({p[0] for p in cut} - opening.keys())
-    for x, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        opening[x] = np.array(e.ids, np.uint32).tobytes()
-    unknown: set[str] = set()
-    for p in cut:
-        unknown.update(p[1:])
-    fresh = list(unknown - spaced.keys())
-    runs = [fresh[k: k + TOGETHER] for k in range(0, len(fresh), TOGETHER)]
-    for run, e in zip(runs, tokenizer.encode_batch_fast([" " + " ".join(run) for run in runs], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, np.uint32)
-        begin = np.flatnonzero(opens[ids])  # the token that holds a segment's leading space
-        if len(begin) != len(run):
-            raise ValueError("a token other than a segment's first begins with a space")
-        raw = ids.tobytes()
-        for x, i, j in zip(run, begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
-            spaced[x] = raw[4 * i: 4 * j]
-    get = spaced.__getitem__
-    return [np.frombuffer(opening[p[0]] + b"".join(map(get, p[1:])), np.uint32) for p in cut]
+
+    def split(run: list[str], gap: str, begins) -> Iterator[bytes]:
+        """Ids of each of a run of strings, encoded as one text with `gap` before each."""
+        runs = [run[k: k + TOGETHER] for k in range(0, len(run), TOGETHER)]
+        for own, e in zip(runs, tokenizer.encode_batch_fast([gap + gap.join(x) for x in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            begin = np.flatnonzero(begins(ids))
+            if len(begin) != len(own):
+                raise ValueError("a token other than a piece's first begins with its gap")
+            raw = ids.tobytes()
+            for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True):
+                yield raw[4 * i: 4 * j]
+
+    def after_space(new: list[str]) -> Iterator[bytes]:
+        return split(new, " ", lambda ids: opens[ids])
+
+    def alone(new: list[str]) -> list[bytes]:
+        # Short pieces without white space or special strings are encoded together, line by line.
+        easy = [x for x in new if line is not None and x and not _apart.search(x)]
+        found = dict(zip(easy, (x[4:] for x in split(easy, "\n", lambda ids: ids == line)), strict=True))
+        rest = [x for x in new if x not in found]
+        found.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [found[x] for x in new]
+
+    whole = np.array([text[:1] == " " or bool(_AFTER.search(text) or _BEFORE.search(text)) for text in texts])
+    lists = pc.split_pattern(pa.array(["" if w else text for text, w in zip(texts, whole.tolist(), strict=True)], pa.large_string()), " ")
+    at = lists.offsets.to_numpy().astype(np.int64)
+    later = np.ones(at[-1], bool)
+    later[at[:-1]] = False
+    # First segments and whole texts begin without a space, all others with one.
+    first = pa.array([text if w else text.split(" ", 1)[0] for text, w in zip(texts, whole.tolist(), strict=True)], pa.large_string())
+    segments = lists.values.filter(pa.array(later)).dictionary_encode()
+    n_first = len(first)
+    begin_first, flat_first = _pieces(first, line is None)
+    begin, flat = _pieces(segments.dictionary, line is None)
+    head = np.zeros(len(flat), bool)
+    head[begin[:-1]] = True
+    code_head, ids_head = _known(flat.filter(pa.array(head)), spaced, after_space)
+    code_bare, ids_bare = _known(pa.concat_arrays([flat_first, flat.filter(pa.array(~head))]), bare, alone)
+    # Pieces of the first segments, then of the distinct others; then texts as places of segments, segments as places of pieces.
+    code = np.empty(len(flat_first) + len(flat), np.int64)
+    code[:len(flat_first)] = code_bare[:len(flat_first)]
+    code[len(flat_first):][~head] = code_bare[len(flat_first):]
+    code[len(flat_first):][head] = len(ids_bare) + code_head
+    known = ids_bare + ids_head
+    table, size = np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4
+    piece_begin = np.concatenate([begin_first[:-1], len(flat_first) + begin[:-1]])
+    piece_count = np.concatenate([np.diff(begin_first), np.diff(begin)])
+    order = np.empty(at[-1], np.int64)
+    order[at[:-1]] = np.arange(n_first)
+    order[later] = n_first + segments.indices.to_numpy()
+    codes = code[_spans(piece_begin[order], piece_count[order])]
+    ids = table[_spans((np.cumsum(size) - size)[codes], size[codes])]
+    # Ids up to the end of each segment give those up to the end of each text.
+    of_segment = np.add.reduceat(size[code], piece_begin) if len(code) else np.zeros(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(of_segment[order])])[at]
+    return [ids[i:j] for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
 def pack(docs: list[np.ndarray], min_pairs: int = MIN_PAIRS) -> bytes:
@@ -241,9 +323,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, mi
             return out
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [x or "" for x in part.column("text").to_pylist()]
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                texts = [x or "" for x in part.column("text").to_numpy(zero_copy_only=False)]
                 for doc_id, own in zip(part.column("doc_id").to_pylist(), encode(texts, tokenizer), strict=True):
                     ids.append(doc_id)
                     held.append(np.append(own, np.uint32(end_id)))

@@ -68,3 +68,19 @@ def test_table_round_trip(spark, sf, monkeypatch):
 
 def test_empty(spark):
     assert tokens.token_table(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["ab", "tion", "é", ".", ",", "#", "'s", " ", "\n", "\0", "\x85", "<|endoftext|>", "1"]), max_size=25).map("".join), max_size=6))
+def test_pieces_encode_like_whole_texts(texts):
+    whole = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in tokens.encode(texts, PATH)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_piece_is_remembered_once():
+    """Marks behind a word and lines do not make other pieces of it."""
+    *_, bare, spaced = tokens._tokenizer(PATH)
+    bare.clear()
+    spaced.clear()
+    tokens.encode(["so word, word. word;\nso word! word"], PATH)
+    assert set(spaced) == {"word"} and set(bare) == {"so", ",", ".", ";", "\n", "!"}
