@@ -1,5 +1,7 @@
 """Work that must not be done twice: lists built once per page, schemas without the tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -8,6 +10,7 @@ from reportlens.functions.text import evidence
 from reportlens.operators import claims as cl
 from reportlens.operators import extract as ex
 from reportlens.plans import tables
+from reportlens.sources import derived
 
 PAGES = "document_id string, company string, year int, page int, text string"
 ROWS = [
@@ -57,3 +60,23 @@ def test_schemas_need_no_stored_table(spark, sf, monkeypatch):
         m.setattr(tables, "materialize", lambda *a: pytest.fail("a table was stored for its schema"))
         early = tables.extracted_schema(spark, sf), tables.reports_schema(spark, sf)
     assert [*map(names, early)] == [names(tables.extracted(spark, sf).schema), names(tables.reports(spark, sf).schema)]
+
+
+def test_tasks_of_pages_follow_the_input(spark, sf, monkeypatch):
+    """Dealt out by bytes, all pages of these tables are one task, and tasks at 1 GB hold hundreds of thousands."""
+    size = os.path.getsize(f"{sf}/lineitem.parquet")
+    monkeypatch.setattr(derived, "PART_BYTES", size // 7 + 1)
+    assert derived.page_parts(spark, sf) == 7
+    assert derived.report_pages(spark, sf).rdd.getNumPartitions() == 7
+
+
+def test_runs_of_a_report_stay_together(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "page_parts", lambda *a: 7)
+    rows = spark.range(2000).selectExpr("'a' as document_id", "cast(id as int) as page").union(
+        spark.range(50).selectExpr("concat('b', id) as document_id", "cast(null as int) as page"))
+    at = tables.neighbours(spark, sf, rows).withColumn("task", F.spark_partition_id())
+    assert at.count() == 2050
+    per = at.where("document_id = 'a'").groupBy(F.floor(F.col("page") / tables.RUN)).agg(F.count_distinct("task").alias("n"))
+    assert per.where("n > 1").count() == 0
+    # A report of very many pages is not left to one task.
+    assert at.where("document_id = 'a'").select("task").distinct().count() > 1
