@@ -38,7 +38,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 14
 #: Pairs rarer than this in a block are left alone; a rule costs 12 bytes.
 MIN_PAIRS = 24
 #: Pieces whose ids a worker remembers, new ones that are encoded in one string, and texts that are cut at once.
-REMEMBERED, TOGETHER, TEXTS = 1_000_000, 256, 2048
+REMEMBERED, TOGETHER, TEXTS = 1_000_000, 256, 1024
 _AFTER, _BEFORE = re.compile(r" (?:\s|\Z)"), re.compile(r"[^\S ] ")
 #: Letters and marks between which the pattern always ends a token, and characters that are no white space.
 _LETTER, _MARK, _INK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?#&%", "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -334,6 +334,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, mi
                         yield flush()
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
