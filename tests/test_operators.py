@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reportlens import taxonomy as tx
 from reportlens.functions import text as X
+from reportlens.functions.patterns import ignore_case
 from reportlens.operators import audit as au
 from reportlens.operators import chunks as ch
 from reportlens.operators import claims as cl
@@ -305,3 +307,31 @@ def test_expression_and_model_give_the_same_vectors(spark, sf):
         assert sorted(map(str, native.collect())) == sorted(map(str, em.embed_chunks(docs, em.hashed_words(dim)).collect()))
     asked = em.embed_queries(docs.withColumnRenamed("content", "question"))
     assert "Python" not in plan(asked) and sorted(map(str, asked.collect())) == sorted(map(str, em.embed_chunks(docs).withColumnRenamed("content", "question").collect()))
+
+
+def test_scope_patterns_in_lower_case_find_what_patterns_that_ignore_case_find(spark):
+    """Capitals, the four letters whose case pair is in ASCII, and words that only fold to a pattern's word."""
+    texts = [
+        "SCOPE 1: 12 tCO2e. scope two EMISSIONS: 7.5 and İndirect emissions: 8, ındırect emiſsions: 9 indirect",
+        "Scope 1 emiſſions: 1,200 Fugitive Emİssions: 4 Total GHG emissions: 31 Total Scopes 1, 2 & 3: 5 Business Travel: emission 6",
+        "ſcope 1: 3. Scope 3: ١٢ scope | Scope 2 | 44. FY Scope 1 was as in FY2024: 17 K Stationary  combustion: 6.5", "", "no figure",
+    ]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, text string")
+    got = {r.page: r for r in ex.scope_metrics_from_text(pages).collect()}
+    found = 0
+    for kind in tx.SCOPE_KINDS:
+        for i, text in enumerate(texts):
+            low = text.lower()
+            run = [p for literals, p in tx.SCOPE_PATTERNS[kind] if all(w in low for w in literals)]
+            row = pages.where(F.col("page") == i).select(*[
+                F.regexp_extract_all("text", F.lit(ignore_case(p)), F.lit(1)).alias(str(k)) for k, p in enumerate(run)]).first() if run else []
+            want = [float(v.replace(",", "")) for values in row for v in values if v.isascii() and v.strip(",")]
+            assert [m.value for m in got[i][kind]] == [v for v in want if v > 0], (kind, i)
+            found += len(want)
+    assert found > 12
+
+
+def test_scope_patterns_do_not_run_ignoring_case(spark):
+    """A search that ignores case over Unicode tries the pattern at every character."""
+    plan = ex.scope_metrics_from_text(spark.createDataFrame([(1, "x")], "page int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(_folded" in plan and "(?iu)" not in plan
