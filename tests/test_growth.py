@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from reportlens.functions.text import evidence
+from reportlens import taxonomy as tx
+from reportlens.functions.text import claim_context, evidence, evidence_signals, raw_sentences, strip
 from reportlens.operators import claims as cl
 from reportlens.operators import extract as ex
 from reportlens.plans import tables
@@ -55,6 +56,41 @@ def test_shared_evidence_is_that_of_each_context(spark):
     assert found.select("document_id", "page").distinct().count() == 2
 
 
+def test_evidence_is_read_for_picked_claims(spark):
+    """Scores need three signals; before, phrases and counts were built for every claim and sorted with it."""
+    picked = cl.best_claims(pages(spark), 3)
+    assert "key_phrases" not in optimized(picked).split("Window [")[-1]
+    plain = cl.top_claims(cl.score_claims(cl.claim_metrics_choice(cl.detect_claims(pages(spark), distinct_base=True))), 3)
+    both = [sorted(r[0] for r in df.select(F.to_json(F.struct(*sorted(df.columns)))).collect()) for df in (picked, plain)]
+    assert both[0] == both[1] and len(both[0]) > 3
+
+
+def test_contexts_shared_by_hits(spark):
+    """Texts around a sentence are built once per page; a hit in a wide gap, or in a short text, has its own."""
+    gap = ROWS + [("d", "d", 2020, 1, "A coal.  " * 9 + "We use oil and coal.   Net zero!\n\n\nGRI." + " water usage" * 60)]
+    found = cl.claims_read(spark.createDataFrame(gap, PAGES), evidence_signals).join(
+        spark.createDataFrame(gap, PAGES).select("document_id", "page", "text").distinct(), ["document_id", "page"])
+    at = F.instr(F.lower("text"), F.lower("claim")) - 1
+    wrong = ~F.col("context").eqNullSafe(claim_context(F.col("text"), raw_sentences(F.col("text")), at, F.col("claim")))
+    assert found.where("document_id = 'd'").count() > 4 and found.where(wrong & (F.col("document_id") != "a_2020")).count() == 0
+
+
+def test_strip_trims_every_kind_of_space(spark):
+    texts = ["", " ", "a", " a ", "\t a\u2003", "\u00a0 \u3000", "a\n b", " \u0085a", "é \u2028", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [None if r["t"] is None else r["t"].strip() for r in rows]
+
+
+def test_keywords_are_sought_by_shared_word(spark):
+    words = tx.claim_keywords()
+    groups = tx.keyword_groups(words)
+    assert sorted(i for _, members in groups for i in members) == [*range(len(words))] and len(groups) < len(words) / 2
+    assert all(w in words[i].lower() for w, members in groups for i in members)
+    text = "; ".join(words[::2]) + "; recent gold and oils, ISO 9001"
+    row = spark.createDataFrame([(text,)], "text string").select(cl.page_hits(words).alias("h")).first()
+    assert [h["keyword_ord"] for h in row["h"]] == [i for i, k in enumerate(words) if k.lower() in text.lower()]
+
+
 def test_schemas_need_no_stored_table(spark, sf, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(tables, "materialize", lambda *a: pytest.fail("a table was stored for its schema"))
